@@ -21,24 +21,29 @@ def screen(df: DataFrame, required: list[str], rating: str = "rating"):
     return df.filter(ok), df.filter(~ok)
 
 
+def _one_per_key(df: DataFrame, keys: list[str], order: list[str], keep: list[str], pick):
+    """One aggregate rather than ``row_number``: it combines on the map side, so a pair that was
+    rated millions of times reaches the reducer as one row per map task. A single column is
+    passed bare, since fixed-width buffers are aggregated by hash and structs by sorting.
+    """
+    bare = lambda names: F.col(names[0]) if len(names) == 1 else F.struct(*names)
+    kept = pick(bare(keep), bare(order)).alias("_kept")
+    columns = ["_kept"] if len(keep) == 1 else [f"_kept.{name}" for name in keep]
+    return df.groupBy(*keys).agg(kept).select(*keys, *columns).toDF(*keys, *keep)
+
+
 def latest_per_key(
     df: DataFrame, keys: list[str], newest_by: list[str], keep: list[str]
 ) -> DataFrame:
-    """One row per key: the one with the greatest ``newest_by``.
-
-    An aggregate rather than ``row_number``: it combines on the map side, so a pair that was
-    rated millions of times reaches the reducer as one row per map task.
-    """
-    best = F.max(F.struct(*newest_by, *[k for k in keep if k not in newest_by])).alias("_best")
-    return df.groupBy(*keys).agg(best).select(*keys, *[f"_best.{k}" for k in keep])
+    """``keep`` of the row with the greatest ``newest_by`` of every key."""
+    return _one_per_key(df, keys, newest_by, keep, F.max_by)
 
 
 def first_per_key(
     df: DataFrame, keys: list[str], oldest_by: list[str], keep: list[str]
 ) -> DataFrame:
-    """One row per key: the one with the least ``oldest_by``."""
-    best = F.min(F.struct(*oldest_by, *[k for k in keep if k not in oldest_by])).alias("_best")
-    return df.groupBy(*keys).agg(best).select(*keys, *[f"_best.{k}" for k in keep])
+    """``keep`` of the row with the least ``oldest_by`` of every key."""
+    return _one_per_key(df, keys, oldest_by, keep, F.min_by)
 
 
 def repeated_keys(df: DataFrame, key: str) -> DataFrame:

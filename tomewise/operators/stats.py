@@ -62,8 +62,8 @@ def histogram(ratings: DataFrame, edges=(1, 2, 3, 4, 5, 6), column: str = "ratin
     )
 
 
-def quantiles(df: DataFrame, column: str, probs=QUARTILES) -> DataFrame:
-    """Exact linearly interpolated quantiles as ``(prob, value)`` rows.
+def _cumulative(df: DataFrame, column: str) -> DataFrame:
+    """(v, n, upto): how often each value occurs, and how many values there are up to it.
 
     Equal values are counted before anything is ordered, so a frequent value costs no more
     than a rare one, and the cumulative counts are built range by range.
@@ -74,37 +74,57 @@ def quantiles(df: DataFrame, column: str, probs=QUARTILES) -> DataFrame:
         .groupBy("v")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    upto = running_total(counted, ["v"], "n", "upto")
-    n = upto.agg(F.max("upto")).first()[0]
-    wanted = []
+    return running_total(counted, ["v"], "n", "upto")
+
+
+def _quantiles(cumulative: DataFrame, n: int, probs) -> DataFrame:
+    places = []
     for p in probs:
-        place = p * ((n or 1) - 1)
-        low = int(place)
-        wanted += [(float(p), low, 1 - (place - low)), (float(p), low + 1, place - low)]
-    # At most two places per probability: a constant number of rows.
-    places = df.sparkSession.createDataFrame(wanted, "prob DOUBLE, place BIGINT, share DOUBLE")
-    hit = (F.col("place") >= F.col("upto") - F.col("n")) & (F.col("place") < F.col("upto"))
+        at = p * (n - 1)
+        places += [(float(p), int(at), 1 - at % 1), (float(p), int(at) + 1, at % 1)]
+    # At most two places per probability: a constant that fits into an expression.
+    wanted = F.array(
+        *[
+            F.struct(F.lit(p).alias("prob"), F.lit(place).alias("place"), F.lit(w).alias("share"))
+            for p, place, w in places
+            if w > 0
+        ]
+    )
+    inside = lambda w: (w.place >= F.col("upto") - F.col("n")) & (w.place < F.col("upto"))
     return (
-        upto.join(F.broadcast(places.filter("share > 0")), hit)
-        .groupBy("prob")
-        .agg(F.sum(F.col("v") * F.col("share")).alias("value"))
+        cumulative.select("v", F.explode(F.filter(wanted, inside)).alias("hit"))
+        .groupBy("hit.prob")
+        .agg(F.sum(F.col("v") * F.col("hit.share")).alias("value"))
     )
 
 
+def quantiles(df: DataFrame, column: str, probs=QUARTILES) -> DataFrame:
+    """Exact linearly interpolated quantiles as ``(prob, value)`` rows; none without values."""
+    cumulative = _cumulative(df, column)
+    n = cumulative.agg(F.max("upto")).first()[0] or 0
+    return _quantiles(cumulative, n, probs)
+
+
 def describe(df: DataFrame, column: str = "rating", decimals: int = 6) -> DataFrame:
-    """count, mean, std, min, quartiles and max as ``(statistic, value)`` rows."""
-    value = F.col(column)
-    moments = df.agg(
-        F.count(value).cast("double").alias("count"),
-        F.avg(value).alias("mean"),
-        F.stddev_samp(value).alias("std"),
-        F.min(value).cast("double").alias("min"),
-        F.max(value).cast("double").alias("max"),
+    """count, mean, std, min, quartiles and max as ``(statistic, value)`` rows.
+
+    ``df`` is read once; everything follows from the counts of its values. Without any values
+    the count is 0 and there are no quartiles.
+    """
+    cumulative = _cumulative(df, column)
+    v, n = F.col("v"), F.col("n")
+    count, mean = cumulative.agg(F.coalesce(F.sum(n), F.lit(0)), F.sum(v * n) / F.sum(n)).first()
+    off = v - F.lit(mean)
+    moments = cumulative.agg(
+        F.lit(float(count)).alias("count"),
+        F.lit(mean).cast("double").alias("mean"),
+        F.sqrt(F.sum(n * off * off) / F.nullif(F.lit(count - 1), F.lit(0))).alias("std"),
+        F.min(v).alias("min"),
+        F.max(v).alias("max"),
     )
-    names = ["count", "mean", "std", "min", "max"]
-    long = moments.unpivot([], names, "statistic", "value")
+    long = moments.unpivot([], moments.columns, "statistic", "value")
     percent = F.format_string("%d%%", F.round(F.col("prob") * 100).cast("int"))
-    quarters = quantiles(df, column).select(percent.alias("statistic"), "value")
+    quarters = _quantiles(cumulative, count, QUARTILES).select(percent.alias("statistic"), "value")
     return long.unionByName(quarters).withColumn("value", F.round("value", decimals))
 
 

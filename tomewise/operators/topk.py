@@ -17,6 +17,7 @@ USERS_PER_BLOCK = 4096
 ITEMS_PER_BLOCK = 32768
 # Scores held at once by a task: 4M doubles.
 _SCORES = 1 << 22
+_PAIRS_PER_TASK = 32
 
 
 def _block(key: str, blocks: int):
@@ -101,9 +102,13 @@ def best_items(
         for side in (user_factors, item_factors)
     )
     item_blocks = max(1, -(-item_factors.count() // items_per_block))
-    # Enough block pairs to keep the session busy even when the data would fit into one.
-    busy = -(-spark.sparkContext.defaultParallelism // item_blocks)
+    # Several block pairs per core, even where the data would fit into one.
+    cores = spark.sparkContext.defaultParallelism
+    busy = -(-4 * cores // item_blocks)
     user_blocks = max(-(-user_factors.count() // users_per_block), busy)
+    # Fixed, because block pairs are small in bytes and heavy in work: AQE would merge them.
+    pairs = user_blocks * item_blocks
+    tasks = min(pairs, max(4 * cores, pairs // _PAIRS_PER_TASK))
 
     users = user_factors.withColumn("user_block", _block("id", user_blocks)).withColumn(
         "item_block", F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1)))
@@ -124,8 +129,9 @@ def best_items(
     )
     pair = ["user_block", "item_block"]
     scored = (
-        users.groupBy(*pair)
-        .cogroup(items.groupBy(*pair))
+        users.repartition(tasks, *pair)
+        .groupBy(*pair)
+        .cogroup(items.repartition(tasks, *pair).groupBy(*pair))
         .applyInPandas(
             _block_scorer(n, decimals),
             "user_id INT, book_id INT, prediction DOUBLE, rank INT",

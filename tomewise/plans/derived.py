@@ -36,8 +36,7 @@ def ratings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One rating per user and book: (user_id, book_id, rating)."""
     raw = ratings_raw(spark, sf_dir)
-    latest = latest_per_key(raw, ["user_id", "book_id"], NEWEST, ["rating"])
-    return latest.select("user_id", "book_id", "rating")
+    return latest_per_key(raw, ["user_id", "book_id"], NEWEST, ["rating"])
 
 
 def ext_book_id(book: str):

@@ -19,7 +19,9 @@ RANKS = (10, 20, 50, 70)
 REGS = (0.15, 0.20, 0.25)
 SERVED_RANK, SERVED_REG, SERVED_ITERATIONS = 50, 0.20, 10
 
+# Every fitting task holds one buffer per pair of blocks, hence the upper bound.
 _RATINGS_PER_BLOCK = 5_000_000
+_MIN_BLOCKS, _MAX_BLOCKS = 10, 2000
 
 
 @dataclass(frozen=True)
@@ -37,7 +39,8 @@ class AlsConfig:
     blocks: int | None = None
 
     def estimator(self, n_ratings: int) -> ALS:
-        blocks = self.blocks or max(10, -(-n_ratings // _RATINGS_PER_BLOCK))
+        wanted = -(-n_ratings // _RATINGS_PER_BLOCK)
+        blocks = self.blocks or min(max(wanted, _MIN_BLOCKS), _MAX_BLOCKS)
         return ALS(
             rank=self.rank,
             regParam=self.reg,

@@ -100,6 +100,13 @@ scores AS (
 )"""
 
 
+MARKED = """
+marked AS (
+  SELECT user_id, book_id,
+         (CAST(user_id AS BIGINT) * 31 + CAST(book_id AS BIGINT) * 17) % 10 AS bucket
+  FROM ratings)"""
+
+
 def _best(scores: str, name: str = "recs") -> str:
     return f"""
 {name} AS (
@@ -258,8 +265,22 @@ ORACLES = {
     "new_user_recs": f"""WITH {FIXED_RECS} SELECT * FROM recs
         WHERE user_id > (SELECT max(user_id) // 2 FROM recs)""",
     "one_user_recs": f"WITH {FIXED_RECS} SELECT * FROM recs WHERE user_id = 42",
-    "key_split_sizes": f"""WITH {RATINGS},
-        marked AS (SELECT (user_id * 31 + book_id * 17) % 10 AS bucket FROM ratings)
+    "als_unseen_counts": f"""WITH {RATINGS}
+        SELECT user_id,
+               least(10, (SELECT count(DISTINCT book_id) FROM ratings) - count(*)) AS recs,
+               CAST(0 AS BIGINT) AS rated
+        FROM ratings GROUP BY user_id""",
+    "als_grid_scored": f"""WITH {RATINGS}, {MARKED},
+        training AS (SELECT * FROM marked WHERE bucket < 6),
+        scored AS (
+          SELECT count(*) AS scored FROM marked WHERE bucket IN (6, 7)
+            AND user_id IN (SELECT user_id FROM training)
+            AND book_id IN (SELECT book_id FROM training))
+        SELECT CAST(grid_pos AS INTEGER) AS grid_pos, CAST(rank AS INTEGER) AS rank,
+               CAST(reg AS DOUBLE) AS reg, scored
+        FROM (VALUES (0, 2, 0.1), (1, 2, 0.2), (2, 4, 0.1), (3, 4, 0.2)) g(grid_pos, rank, reg),
+             scored""",
+    "key_split_sizes": f"""WITH {RATINGS}, {MARKED}
         SELECT 'training' AS part, count(*) AS rows FROM marked WHERE bucket < 6
         UNION ALL SELECT 'validation', count(*) FROM marked WHERE bucket IN (6, 7)
         UNION ALL SELECT 'test', count(*) FROM marked WHERE bucket > 7""",

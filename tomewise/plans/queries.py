@@ -295,9 +295,13 @@ def _sizes(parts: list[DataFrame]) -> DataFrame:
     return counts[0].union(counts[1]).union(counts[2])
 
 
+def _key_split(ratings: DataFrame) -> list[DataFrame]:
+    key = F.col("user_id").cast("long") * 31 + F.col("book_id").cast("long") * 17
+    return split.by_key(ratings, F.pmod(key, F.lit(10)), 10)
+
+
 def key_split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bucket = F.pmod(F.col("user_id") * 31 + F.col("book_id") * 17, F.lit(10))
-    return _sizes(split.by_key(derived.ratings(spark, sf_dir), bucket, 10))
+    return _sizes(_key_split(derived.ratings(spark, sf_dir)))
 
 
 def hash_split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -312,6 +316,15 @@ def als_recs_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommend_job(derived.ratings(spark, sf_dir), JobConfig(als=SMALL_ALS))
 
 
+def als_unseen_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recommendations per user, and how many of them the user had rated already."""
+    recs = als_recs_unseen(spark, sf_dir)
+    known = recommend.with_known_rating(recs, derived.ratings(spark, sf_dir))
+    return known.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("recs"), F.count("rating").alias("rated")
+    )
+
+
 def als_recs_filter_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = JobConfig(als=SMALL_ALS, unseen="filter_after", fit_on="train")
     return recommend_job(derived.ratings(spark, sf_dir), config)
@@ -329,6 +342,15 @@ def als_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def als_grid_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many validation ratings each grid point could score, for a split that SQL can do."""
+    training, validation, _ = _key_split(cut(derived.ratings(spark, sf_dir)))
+    metrics = model.grid_metrics(
+        training, validation, SMALL_ALS, ranks=(2, 4), regs=(0.1, 0.2), parallelism=2
+    )
+    return metrics.select("grid_pos", "rank", "reg", "scored")
+
+
 def als_best_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.best_point(als_grid(spark, sf_dir))
 
@@ -413,9 +435,11 @@ QUERIES = {
         hash_split_sizes,
         random_split_sizes,
         als_recs_unseen,
+        als_unseen_counts,
         als_recs_filter_after,
         als_holdout_rmse,
         als_grid,
+        als_grid_scored,
         als_best_point,
         als_subset,
         stream_refresh,

@@ -2,9 +2,10 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tomewise.schemas import BOOKS_FILE, RATINGS, RATINGS_FILE, conform
+from tomewise.session import cut
 
 CORRUPT = "_corrupt"
 
@@ -44,13 +45,14 @@ def lookup_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ratings_by_position(spark: SparkSession, path: str) -> DataFrame:
-    """The six rating columns by position, below a header. Any bad row fails the load."""
+    """The six rating columns by position, below a header.
+
+    Any bad row fails a load of all columns, which is what appending them to a table is.
+    """
     return (
         spark.read.schema(RATINGS)
         .option("header", True)
         .option("mode", "FAILFAST")
-        # Otherwise a bad value in a column nobody selects would pass.
-        .option("columnPruning", False)
         .csv(path)
     )
 
@@ -58,12 +60,13 @@ def ratings_by_position(spark: SparkSession, path: str) -> DataFrame:
 def ratings_with_quarantine(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Like :func:`ratings_by_position`, but bad rows are set aside with their text."""
     read = (
-        spark.read.schema(StructType(RATINGS.fields).add(CORRUPT, "string"))
+        spark.read.schema(StructType([*RATINGS, StructField(CORRUPT, StringType())]))
         .option("header", True)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("columnPruning", False)
         .csv(path)
     )
+    # Spark only notices a bad value in a column that is read, so read all of them once.
+    read = cut(read)
     broken = F.col(CORRUPT).isNotNull()
     return read.filter(~broken).drop(CORRUPT), read.filter(broken)

@@ -48,11 +48,12 @@ def write_table(
 ) -> None:
     """``overwrite`` empties the table but keeps its definition; ``append`` adds to it.
 
-    ``connections`` bounds what the database has to serve at once. A task that is retried
+    ``connections`` bounds what the database has to serve at once; rows are shuffled to that
+    many writers, so that computing them is not held to the same number of tasks. A task that is retried
     after its commit was lost inserts its rows again, so give the table a unique key.
     """
     (
-        df.coalesce(connections)
+        df.repartition(connections)
         .write.option("truncate", True)
         .option("batchsize", 10_000)
         .jdbc(target.url, target.table, mode=mode, properties=target.properties)

@@ -1,10 +1,15 @@
+import subprocess
+import sys
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from pyspark import cloudpickle
+
 from conftest import rows
-from tomewise.operators.topk import best_items
+from tomewise.operators.topk import _block_scorer, best_items
 
 
 def frame(spark, ids, matrix):
@@ -89,3 +94,12 @@ def test_plan_has_no_cross_join_and_ranks_before_the_shuffle(spark):
     plan = plan.executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_workers_do_not_need_the_package(tmp_path):
+    (tmp_path / "scorer").write_bytes(cloudpickle.dumps(_block_scorer(3, None)))
+    load = "import pickle, sys; print(callable(pickle.load(open('scorer', 'rb'))), 'tomewise' in sys.modules)"
+    out = subprocess.run(
+        [sys.executable, "-c", load], cwd=tmp_path, capture_output=True, text=True, check=True
+    )
+    assert out.stdout.split() == ["True", "False"]

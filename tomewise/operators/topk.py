@@ -6,13 +6,18 @@ block pair. What a user has already rated is masked inside the block pair, so th
 falls short of ``n`` and no over-fetching is needed, however much one user has rated.
 """
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Send the functions themselves, so that executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 USERS_PER_BLOCK = 4096
 ITEMS_PER_BLOCK = 32768
 # Scores held at once by a task: 4M doubles.
@@ -39,43 +44,53 @@ def _best_of_slice(scores: np.ndarray, item_ids: np.ndarray, n: int):
     return row[rank < n], item[rank < n], score[rank < n], rank[rank < n] + 1
 
 
+def _place(ids: np.ndarray, wanted: np.ndarray):
+    """Positions of ``wanted`` in the sorted ``ids``, and which of them were found."""
+    at = np.searchsorted(ids, wanted).clip(max=len(ids) - 1)
+    return at, ids[at] == wanted
+
+
+def _seen_cells(seen: pd.DataFrame, user_ids: np.ndarray, item_ids: np.ndarray):
+    """Rows and columns of the rated pairs, in order of the row."""
+    if seen.empty:
+        return np.empty(0, int), np.empty(0, int)
+    row, user_known = _place(user_ids, np.repeat(seen["id"].to_numpy(), seen["seen"].map(len)))
+    col, item_known = _place(item_ids, np.concatenate(seen["seen"].to_numpy()))
+    known = user_known & item_known
+    row, col = row[known], col[known]
+    order = np.argsort(row, kind="stable")
+    return row[order], col[order]
+
+
 def _block_scorer(n: int, decimals: int | None):
-    def score(users: pd.DataFrame, items: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    def slices(left: pd.DataFrame, items: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        is_user = left["seen"].isna()
+        users, items = left[is_user].sort_values("id"), items.sort_values("id")
         if users.empty or items.empty:
             return
-        item_ids = items["id"].to_numpy()
-        order = np.argsort(item_ids)
-        item_ids = item_ids[order]
-        item_matrix = np.stack(items["features"].to_numpy())[order].T
+        user_ids, item_ids = users["id"].to_numpy(), items["id"].to_numpy()
+        features, item_matrix = users["features"].to_numpy(), np.stack(items["features"]).T
+        row, col = _seen_cells(left[~is_user], user_ids, item_ids)
         step = max(1, _SCORES // len(item_ids))
-        for at in range(0, len(users), step):
-            part = users.iloc[at : at + step]
-            scores = np.stack(part["features"].to_numpy()) @ item_matrix
+        for at in range(0, len(user_ids), step):
+            scores = np.stack(features[at : at + step]) @ item_matrix
             if decimals is not None:
                 scores = np.round(scores, decimals)
-            seen = [s if s is not None else () for s in part["seen"]]
-            lengths = [len(s) for s in seen]
-            if any(lengths):
-                ids = np.concatenate([np.asarray(s, dtype=item_ids.dtype) for s in seen])
-                place = np.searchsorted(item_ids, ids).clip(max=len(item_ids) - 1)
-                known = item_ids[place] == ids
-                row = np.repeat(np.arange(len(part)), lengths)
-                scores[row[known], place[known]] = -np.inf
-            row, item, best, rank = _best_of_slice(scores, item_ids, n)
+            here = slice(*np.searchsorted(row, [at, at + step]))
+            scores[row[here] - at, col[here]] = -np.inf
+            user, item, best, rank = _best_of_slice(scores, item_ids, n)
             yield pd.DataFrame(
                 {
-                    "user_id": part["id"].to_numpy()[row],
+                    "user_id": user_ids[at + user],
                     "book_id": item,
                     "prediction": best.astype("float64"),
                     "rank": rank,
                 }
             )
 
-    def scorer(users: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
-        found = list(score(users, items))
-        if found:
-            return pd.concat(found, ignore_index=True)
-        return pd.DataFrame({"user_id": [], "book_id": [], "prediction": [], "rank": []})
+    def scorer(left: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+        nothing = pd.DataFrame({"user_id": [], "book_id": [], "prediction": [], "rank": []})
+        return pd.concat([nothing, *slices(left, items)], ignore_index=True)
 
     return scorer
 
@@ -110,28 +125,31 @@ def best_items(
     pairs = user_blocks * item_blocks
     tasks = min(pairs, max(4 * cores, pairs // _PAIRS_PER_TASK))
 
-    users = user_factors.withColumn("user_block", _block("id", user_blocks)).withColumn(
-        "item_block", F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1)))
+    user_block = _block("id", user_blocks).alias("user_block")
+    every_user_block = F.explode(F.sequence(F.lit(0), F.lit(user_blocks - 1))).alias("user_block")
+    every_item_block = F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1))).alias("item_block")
+    left = user_factors.select(
+        user_block, every_item_block, "id", "features", F.lit(None).cast("array<int>").alias("seen")
     )
-    if seen is None:
-        users = users.withColumn("seen", F.lit(None).cast("array<int>"))
-    else:
-        # At most items_per_block ids each: a hot user is spread over the item blocks.
-        masks = (
+    if seen is not None:
+        # What a user has rated travels apart from the features, one row per item block: a set
+        # that copies do not add to, and that has at most as many members as the block.
+        nobody = F.lit(None).cast(user_factors.schema["features"].dataType).alias("features")
+        rated = (
             seen.select(F.col("user_id").alias("id"), "book_id")
-            .distinct()
+            .dropna()
             .groupBy("id", _block("book_id", item_blocks).alias("item_block"))
-            .agg(F.collect_list("book_id").alias("seen"))
+            .agg(F.collect_set("book_id").alias("seen"))
         )
-        users = users.join(masks, ["id", "item_block"], "left")
-    items = item_factors.withColumn("item_block", _block("id", item_blocks)).withColumn(
-        "user_block", F.explode(F.sequence(F.lit(0), F.lit(user_blocks - 1)))
+        left = left.unionByName(rated.select(user_block, "item_block", "id", nobody, "seen"))
+    right = item_factors.select(
+        every_user_block, _block("id", item_blocks).alias("item_block"), "id", "features"
     )
     pair = ["user_block", "item_block"]
     scored = (
-        users.repartition(tasks, *pair)
+        left.repartition(tasks, *pair)
         .groupBy(*pair)
-        .cogroup(items.repartition(tasks, *pair).groupBy(*pair))
+        .cogroup(right.repartition(tasks, *pair).groupBy(*pair))
         .applyInPandas(
             _block_scorer(n, decimals),
             "user_id INT, book_id INT, prediction DOUBLE, rank INT",

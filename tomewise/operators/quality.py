@@ -24,7 +24,8 @@ def screen(df: DataFrame, required: list[str], rating: str = "rating"):
 def _one_per_key(df: DataFrame, keys: list[str], order: list[str], keep: list[str], pick):
     """One aggregate rather than ``row_number``: it combines on the map side, so a pair that was
     rated millions of times reaches the reducer as one row per map task. A single column is
-    passed bare, since fixed-width buffers are aggregated by hash and structs by sorting.
+    passed bare, since fixed-width buffers are aggregated by hash and structs by sorting. A
+    single order column must not hold NULLs.
     """
     bare = lambda names: F.col(names[0]) if len(names) == 1 else F.struct(*names)
     kept = pick(bare(keep), bare(order)).alias("_kept")

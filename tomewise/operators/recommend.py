@@ -32,7 +32,10 @@ def drop_seen(recs: DataFrame, ratings: DataFrame) -> DataFrame:
 
 
 def with_known_rating(recs: DataFrame, ratings: DataFrame) -> DataFrame:
-    """Recommendations with the user's own rating, NULL where there is none."""
+    """Recommendations with the user's own rating, NULL where there is none.
+
+    ``ratings`` has one row per user and book; copies would repeat the recommendation.
+    """
     return recs.join(ratings.select(*PAIR, "rating"), PAIR, "left")
 
 

@@ -144,7 +144,7 @@ def top_rated(
     )
     # A right outer join cannot broadcast its right side, hence the two steps.
     found = titles.join(F.broadcast(best.select("book_id")), "book_id", "left_semi")
-    return best.join(F.broadcast(found), "book_id", "left").select(
+    return best.join(found, "book_id", "left").select(
         "book_id", "title", "avg_rating", "ratings"
     )
 

@@ -4,7 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from conftest import rows
-from tomewise.operators.ordering import number_rows, running_total
+from tomewise.operators.ordering import in_ranges, number_rows, running_total
 
 
 @pytest.fixture(autouse=True, scope="module")
@@ -25,7 +25,8 @@ def test_numbers_are_gap_free_over_many_ranges(spark):
     df = spark.range(0, 5000, numPartitions=7).select((F.col("id") * 7919 % 5000).alias("k"))
     got = rows(number_rows(df, ["k"], "n", 101))
     assert got == [(k, k + 101) for k in range(5000)]
-    assert number_rows(df, ["k"], "n").rdd.getNumPartitions() > 1
+    ranged = in_ranges(df, ["k"])
+    assert ranged.select("_range").distinct().count() > 1
 
 
 def test_one_order_value_for_a_third_of_the_rows(spark):
@@ -50,4 +51,10 @@ def test_running_total(spark, keys, data):
     for k in sorted(weights):
         total += weights[k]
         expected.append((k, weights[k], total))
-    assert rows(running_total(df, ["k"], "w", "upto")) == expected
+    ranged = in_ranges(df, ["k"])
+    assert rows(running_total(ranged, ["k"], "w", "upto")) == expected
+    if total:
+        at = data.draw(st.integers(0, total - 1))
+        near = rows(running_total(ranged, ["k"], "w", "upto", around=[at]))
+        assert set(near) <= set(expected)
+        assert any(upto - w <= at < upto for _, w, upto in near)

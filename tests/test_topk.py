@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark import cloudpickle
 
 from conftest import rows
-from tomewise.operators.topk import _block_scorer, best_items
+from tomewise.operators.topk import _best_of_slice, _block_scorer, best_items
 
 
 def frame(spark, ids, matrix):
@@ -57,6 +57,22 @@ def test_equals_brute_force_for_any_blocking(spark, seed, blocks):
     assert [tuple(r) for r in rows(got)] == expected
 
 
+@pytest.mark.parametrize("width", [1, 9, 10, 11, 1279, 1280, 1301, 5000])
+def test_selection_with_ties_and_masks_at_any_width(width):
+    rng = np.random.default_rng(width)
+    scores = rng.integers(0, 50, (7, width)).astype("float32")
+    scores[rng.random((7, width)) < 0.2] = -np.inf
+    scores[3] = -np.inf
+    scores[4] = 1.0
+    ids = np.sort(rng.permutation(10 * width)[:width])
+    got = list(zip(*_best_of_slice(scores, ids, 10)))
+    expected = []
+    for r, line in enumerate(scores):
+        best = sorted((-s, i) for s, i in zip(line, ids) if np.isfinite(s))[:10]
+        expected += [(r, i, -s, rank) for rank, (s, i) in enumerate(best, 1)]
+    assert got == expected
+
+
 def test_identical_items_are_listed_by_id(spark):
     got = best_items(
         frame(spark, range(20), np.ones((20, 2))), frame(spark, range(15), np.ones((15, 2))), 10

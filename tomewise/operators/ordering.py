@@ -15,14 +15,10 @@ from tomewise.session import cut
 _ROW_BITS = 33
 
 
-def _before(totals: DataFrame) -> DataFrame:
-    """Totals of the ranges before each range: one row per partition, so safe to broadcast."""
+def _with_before(totals: DataFrame) -> DataFrame:
+    """Add the total of the ranges before each range; there is one row per partition."""
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    return F.broadcast(
-        totals.select(
-            "_range", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before")
-        )
-    )
+    return totals.withColumn("_before", F.coalesce(F.sum("_total").over(earlier), F.lit(0)))
 
 
 def number_rows(df: DataFrame, order_by: list[str], name: str, start: int = 1) -> DataFrame:
@@ -39,26 +35,41 @@ def number_rows(df: DataFrame, order_by: list[str], name: str, start: int = 1) -
     totals = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_total"))
     in_range = F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     return (
-        placed.join(_before(totals), "_range")
+        placed.join(F.broadcast(_with_before(totals)), "_range")
         .withColumn(name, F.col("_before") + in_range + F.lit(start))
-        .drop("_at", "_range", "_before")
+        .drop("_at", "_range", "_before", "_total")
     )
 
 
-def running_total(df: DataFrame, order_by: list[str], weight: str, name: str) -> DataFrame:
-    """Add the sum of ``weight`` over all rows up to and including this one."""
-    placed = cut(
-        df.repartitionByRange(*order_by).withColumn("_range", F.spark_partition_id())
-    )
-    totals = placed.groupBy("_range").agg(F.sum(weight).alias("_total"))
+def in_ranges(df: DataFrame, order_by: list[str]) -> DataFrame:
+    """``df`` written down with the range each row belongs to, for :func:`running_total`."""
+    return cut(df.repartitionByRange(*order_by).withColumn("_range", F.spark_partition_id()))
+
+
+def running_total(
+    ranged: DataFrame,
+    order_by: list[str],
+    weight: str,
+    name: str,
+    around: list[int] | None = None,
+) -> DataFrame:
+    """Add the sum of ``weight`` over all rows up to and including this one.
+
+    With ``around`` only the ranges are kept in which the total passes one of these values, so
+    that looking a few values up does not sort all the others.
+    """
+    totals = _with_before(ranged.groupBy("_range").agg(F.sum(weight).alias("_total")))
+    if around is not None:
+        passes = lambda at: (at >= F.col("_before")) & (at < F.col("_before") + F.col("_total"))
+        places = F.array(*[F.lit(at).cast("long") for at in around])
+        totals = totals.filter(F.exists(places, passes))
     inside = (
         Window.partitionBy("_range")
         .orderBy(*order_by)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        placed.withColumn("_inside", F.sum(weight).over(inside))
-        .join(_before(totals), "_range")
-        .withColumn(name, F.col("_before") + F.col("_inside"))
-        .drop("_range", "_inside", "_before")
+        ranged.join(F.broadcast(totals), "_range")
+        .withColumn(name, F.col("_before") + F.sum(weight).over(inside))
+        .drop("_range", "_before", "_total")
     )

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomewise.operators.ordering import running_total
+from tomewise.operators.ordering import in_ranges, running_total
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -62,11 +62,11 @@ def histogram(ratings: DataFrame, edges=(1, 2, 3, 4, 5, 6), column: str = "ratin
     )
 
 
-def _cumulative(df: DataFrame, column: str) -> DataFrame:
-    """(v, n, upto): how often each value occurs, and how many values there are up to it.
+def _value_counts(df: DataFrame, column: str) -> DataFrame:
+    """(v, n): how often each value occurs, in ranges of the value.
 
-    Equal values are counted before anything is ordered, so a frequent value costs no more
-    than a rare one, and the cumulative counts are built range by range.
+    Equal values are counted before anything is ordered, so that a frequent value costs no more
+    than a rare one.
     """
     counted = (
         df.filter(F.col(column).isNotNull())
@@ -74,25 +74,25 @@ def _cumulative(df: DataFrame, column: str) -> DataFrame:
         .groupBy("v")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return running_total(counted, ["v"], "n", "upto")
+    return in_ranges(counted, ["v"])
 
 
-def _quantiles(cumulative: DataFrame, n: int, probs) -> DataFrame:
+def _quantiles(counts: DataFrame, n: int, probs) -> DataFrame:
     places = []
     for p in probs:
         at = p * (n - 1)
         places += [(float(p), int(at), 1 - at % 1), (float(p), int(at) + 1, at % 1)]
     # At most two places per probability: a constant that fits into an expression.
+    places = [place for place in places if place[2] > 0]
+    fields = ("prob", "place", "share")
     wanted = F.array(
-        *[
-            F.struct(F.lit(p).alias("prob"), F.lit(place).alias("place"), F.lit(w).alias("share"))
-            for p, place, w in places
-            if w > 0
-        ]
+        *[F.struct(*[F.lit(x).alias(f) for f, x in zip(fields, place)]) for place in places]
     )
-    inside = lambda w: (w.place >= F.col("upto") - F.col("n")) & (w.place < F.col("upto"))
+    here = lambda w: (w.place >= F.col("upto") - F.col("n")) & (w.place < F.col("upto"))
+    around = [place for _, place, _ in places]
     return (
-        cumulative.select("v", F.explode(F.filter(wanted, inside)).alias("hit"))
+        running_total(counts, ["v"], "n", "upto", around)
+        .select("v", F.explode(F.filter(wanted, here)).alias("hit"))
         .groupBy("hit.prob")
         .agg(F.sum(F.col("v") * F.col("hit.share")).alias("value"))
     )
@@ -100,9 +100,8 @@ def _quantiles(cumulative: DataFrame, n: int, probs) -> DataFrame:
 
 def quantiles(df: DataFrame, column: str, probs=QUARTILES) -> DataFrame:
     """Exact linearly interpolated quantiles as ``(prob, value)`` rows; none without values."""
-    cumulative = _cumulative(df, column)
-    n = cumulative.agg(F.max("upto")).first()[0] or 0
-    return _quantiles(cumulative, n, probs)
+    counts = _value_counts(df, column)
+    return _quantiles(counts, counts.agg(F.sum("n")).first()[0] or 0, probs)
 
 
 def describe(df: DataFrame, column: str = "rating", decimals: int = 6) -> DataFrame:
@@ -111,11 +110,11 @@ def describe(df: DataFrame, column: str = "rating", decimals: int = 6) -> DataFr
     ``df`` is read once; everything follows from the counts of its values. Without any values
     the count is 0 and there are no quartiles.
     """
-    cumulative = _cumulative(df, column)
+    counts = _value_counts(df, column)
     v, n = F.col("v"), F.col("n")
-    count, mean = cumulative.agg(F.coalesce(F.sum(n), F.lit(0)), F.sum(v * n) / F.sum(n)).first()
+    count, mean = counts.agg(F.coalesce(F.sum(n), F.lit(0)), F.sum(v * n) / F.sum(n)).first()
     off = v - F.lit(mean)
-    moments = cumulative.agg(
+    moments = counts.agg(
         F.lit(float(count)).alias("count"),
         F.lit(mean).cast("double").alias("mean"),
         F.sqrt(F.sum(n * off * off) / F.nullif(F.lit(count - 1), F.lit(0))).alias("std"),
@@ -124,7 +123,7 @@ def describe(df: DataFrame, column: str = "rating", decimals: int = 6) -> DataFr
     )
     long = moments.unpivot([], moments.columns, "statistic", "value")
     percent = F.format_string("%d%%", F.round(F.col("prob") * 100).cast("int"))
-    quarters = _quantiles(cumulative, count, QUARTILES).select(percent.alias("statistic"), "value")
+    quarters = _quantiles(counts, count, QUARTILES).select(percent.alias("statistic"), "value")
     return long.unionByName(quarters).withColumn("value", F.round("value", decimals))
 
 

@@ -22,6 +22,7 @@ USERS_PER_BLOCK = 4096
 ITEMS_PER_BLOCK = 32768
 # Scores held at once by a task: 4M doubles.
 _SCORES = 1 << 22
+_GROUP = 32
 _PAIRS_PER_TASK = 32
 
 
@@ -29,14 +30,27 @@ def _block(key: str, blocks: int):
     return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
 
 
+def _cutoff(scores: np.ndarray, n: int) -> np.ndarray:
+    """Per row, a finite bound that at least the n best scores reach.
+
+    The n-th best of the maxima of column groups is such a bound, and is much cheaper to find
+    than the n-th best score: only the maxima have to be partitioned.
+    """
+    width = scores.shape[1]
+    group = _GROUP if width >= 4 * n * _GROUP else 1
+    whole = width // group * group
+    maxima = scores[:, :whole].reshape(len(scores), group, -1).max(axis=1)
+    maxima = np.hstack([maxima, scores[:, whole:]])
+    lowest = np.finfo(scores.dtype).min
+    if maxima.shape[1] <= n:
+        return np.full((len(scores), 1), lowest, scores.dtype)
+    bound = -np.partition(-maxima, n - 1, axis=1)[:, n - 1 : n]
+    return np.maximum(bound, lowest)
+
+
 def _best_of_slice(scores: np.ndarray, item_ids: np.ndarray, n: int):
     """Rows, items and scores of the n best per row; equal scores go to the lower id."""
-    if scores.shape[1] > n:
-        cutoff = -np.partition(-scores, n - 1, axis=1)[:, n - 1 : n]
-        keep = scores >= cutoff
-    else:
-        keep = np.ones(scores.shape, dtype=bool)
-    row, col = np.nonzero(keep & np.isfinite(scores))
+    row, col = np.divmod(np.flatnonzero(scores >= _cutoff(scores, n)), scores.shape[1])
     score, item = scores[row, col], item_ids[col]
     order = np.lexsort((item, -score, row))
     row, item, score = row[order], item[order], score[order]

@@ -1,7 +1,5 @@
 """The registered queries: every operator over the derived tables."""
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from tomewise.operators.topk import best_items
 from tomewise.plans import derived, model
 from tomewise.plans.recommend_job import JobConfig, recommend_job
 from tomewise.schemas import RATINGS, conform
-from tomewise.session import cut, shared_dir
+from tomewise.session import cut, fresh_dir
 from tomewise.sources import files, tables, xmlbooks
 from tomewise.streaming.refresh import Refresh, read_rating_files, start
 
@@ -21,10 +19,6 @@ PAGE = 20
 SMALL_ALS = model.AlsConfig(seed=7, rank=8, max_iter=3)
 
 
-def _fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.new_ratings(derived.table(spark, sf_dir, "events"))
 
@@ -122,7 +116,7 @@ def union_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ratings_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rating table through a CSV file, read by position, checked and appended."""
-    csv, table = _fresh_dir(spark, "ratings-csv"), _fresh_dir(spark, "ratings")
+    csv, table = fresh_dir(spark, "ratings-csv"), fresh_dir(spark, "ratings")
     _rating_table(spark, sf_dir).write.option("header", True).csv(csv)
     tables.append_ratings(files.ratings_by_position(spark, csv), table)
     return spark.read.schema(RATINGS).parquet(table)
@@ -366,7 +360,7 @@ def als_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _run_stream(spark: SparkSession, sf_dir: str, job: JobConfig | None) -> str:
-    path = _fresh_dir(spark, "refresh")
+    path = fresh_dir(spark, "refresh")
     schema = derived.table(spark, sf_dir, "events").schema
     events = read_rating_files(spark, sf_dir, schema, names="events.parquet")
     refresh = Refresh(

@@ -1,6 +1,7 @@
 """Session settings, and the shared folder that lineage is cut into."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,7 +12,6 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -33,24 +33,30 @@ def local_session(cores: int | str = "*", memory: str = "8g", **extra: str) -> S
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as ``spark.checkpoint.dir`` names it.
+    """This application's part of the folder that ``spark.checkpoint.dir`` names.
 
-    Only a local session, where driver and executors share one disk, may go without it.
+    Every executor has to reach that folder. Only a local session, where driver and executors
+    share one disk, may go without it. It can be deleted once the application has ended.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
-    if named:
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(named)
-        return named
     if not context.getCheckpointDir():
-        if not context.master.startswith("local"):
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tomewise-"))
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tomewise-"))
     return context.getCheckpointDir()
 
 
+def fresh_dir(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder: lost executors cost no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    What follows neither repeats nor loses the work before it when executors are lost, and
+    unlike a checkpoint it reads only the columns it needs and knows how large the table is.
+    """
+    path = fresh_dir(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

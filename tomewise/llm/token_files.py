@@ -21,6 +21,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,18 +37,51 @@ from tomewise.llm.common import tasks
 END_ID = 2
 NO_DOC = -(1 << 63)
 # Pieces whose ids a worker remembers; beyond that it starts over. It only saves time.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 DOCS_AT_ONCE = 64
-# Blanks before which a byte-level tokenizer always ends a piece: single, and between non-blanks.
+# A blank between non-blanks always begins a piece of its own in a byte-level tokenizer.
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
-_LINE = "\n"
+# Letters behind at most a blank, and marks behind them: two pieces, or one, by any such tokenizer.
+_PLAIN = re.compile(r"( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,;:!?#$%&*|]*)")
 
-MANIFEST = "shard INT, n_docs BIGINT, n_tokens BIGINT, width INT"
+
+def _byte_letters() -> dict[int, str]:
+    """The letters by which byte-level vocabularies write bytes: printable ones stand for themselves,
+    the others for the letters from 256 on, in order."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = (b for b in range(256) if b not in printable)
+    return {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_LETTERS = _byte_letters()
+
+
+class _Pieces(dict):
+    """Piece to ids, learned on the first look. A piece that touches blanks within a text split at
+    single blanks has no ids of its own: None."""
+
+    def __init__(self, encoder: "Encoder", blank: str):
+        self.encoder, self.blank = encoder, blank
+
+    def __missing__(self, piece: str) -> bytes | None:
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            ids = None
+        else:
+            ids = self.encoder.encode(self.blank + piece)
+        self[piece] = ids
+        return ids
+
+    def renew(self, lately: list[str]) -> "_Pieces":
+        """Start over, with what was used lately."""
+        new = _Pieces(self.encoder, self.blank)
+        new.update((p, self[p]) for p in lately)
+        return new
 
 
 class Encoder:
-    """Texts to ids. The ids of a piece between safe blanks do not depend on what is around it, so
-    each different piece is encoded once; the ids of a text are those of its pieces in a row."""
+    """Texts to ids. In a byte-level tokenizer the ids of a piece between single blanks do not depend on
+    what is around it, so each different piece is encoded once by the tokenizer's own steps (its splits, then
+    its model), and the ids of a text are those of its pieces in a row. Other tokenizers get whole texts."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -56,50 +90,49 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        line = self.encode(_LINE)
         kind = type(self.tokenizer.pre_tokenizer).__name__
-        # Elsewhere blanks may carry over to the next piece; such tokenizers get whole texts.
-        self.by_piece = kind == "ByteLevel" and self.tokenizer.normalizer is None and len(line) == 1
-        self.line = line[0] if self.by_piece else None
-        self.known: tuple[dict, dict] = ({}, {})
-
-    def encode(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _learn(self, known: dict, pieces: set, blank: str) -> None:
-        plain = [p for p in pieces if _LINE not in p and p and not p[0].isspace() and not p[-1].isspace()]
-        # A line break between two pieces is a token of its own: many pieces in one call.
-        for at in range(0, len(plain), 4096):
-            some = plain[at : at + 4096]
-            ids = np.array(self.encode(_LINE.join(blank + p for p in some)), self.dtype)
-            cuts = np.flatnonzero(ids == self.line)
-            if len(cuts) != len(some) - 1:
-                known.update((p, self._one(blank + p)) for p in some)
-                continue
-            begin = [0, *(cuts + 1).tolist()]
-            end = [*cuts.tolist(), len(ids)]
-            known.update((p, ids[a:b].tobytes()) for p, a, b in zip(some, begin, end))
-        known.update((p, self._one(blank + p)) for p in pieces.difference(plain))
+        self.by_piece = kind == "ByteLevel" and self.tokenizer.normalizer is None
+        self.splitter, self.model = self.tokenizer.pre_tokenizer, self.tokenizer.model
+        self.marks: dict[str, list[int]] = {}
+        self.heads, self.tails = _Pieces(self, ""), _Pieces(self, " ")
+
+    def encode(self, text: str) -> bytes:
+        if not self.by_piece:
+            return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if not (plain := _PLAIN.fullmatch(text)):
+            parts = self.splitter.pre_tokenize_str(text)
+            return self._packed([t.id for p, _ in parts for t in self.model.tokenize(p)])
+        word, marks = plain.groups()
+        if word.isascii():
+            word = word.replace(" ", _LETTERS[32])
+        else:
+            word = word.encode().decode("latin-1").translate(_LETTERS)
+        ids = [t.id for t in self.model.tokenize(word)]
+        if marks and marks not in self.marks:
+            self.marks[marks] = [t.id for t in self.model.tokenize(marks)]
+        return self._packed(ids + self.marks[marks] if marks else ids)
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return array("H" if self.dtype.itemsize == 2 else "I", ids).tobytes()
 
     def _one(self, text: str) -> bytes:
-        return np.array(self.encode(text), self.dtype).tobytes()
+        head, *tail = text.split(" ")
+        try:
+            return self.heads[head] + b"".join(map(self.tails.__getitem__, tail))
+        except TypeError:  # blanks in a row: split between non-blanks only
+            head, *tail = _SAFE.split(text)
+            return self.encode(head) + b"".join([self.tails[p] or self.encode(" " + p) for p in tail])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of ``dtype``."""
         if not self.by_piece:
-            done = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-            return [np.array(x.ids, self.dtype).tobytes() for x in done]
-        split = [_SAFE.split(t) for t in texts]
-        heads = {s[0] for s in split}
-        tails = {p for s in split for p in s[1:]}
-        for known, pieces, blank in zip(self.known, (heads, tails), ("", " ")):
-            missing = pieces.difference(known)
-            if len(known) + len(missing) > REMEMBERED:
-                known.clear()
-                missing = pieces
-            self._learn(known, missing, blank)
-        head, tail = self.known
-        return [head[s[0]] + b"".join(map(tail.__getitem__, s[1:])) for s in split]
+            return [self.encode(t) for t in texts]
+        done = [self._one(t) for t in texts]
+        if len(self.tails) + len(self.heads) > REMEMBERED:
+            lately = {p for t in texts for p in t.split(" ")[1:]}
+            self.tails = self.tails.renew([p for p in lately if p in self.tails][: REMEMBERED // 4])
+            self.heads = self.heads.renew([])
+        return done
 
 
 @lru_cache(maxsize=4)

@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomewise.llm import chat, mixing, quality, token_files, toxicity
+from tomewise.llm import chat, decontam, jaccard, lsh_forest, mixing, quality, token_files, toxicity
 from tomewise.llm.common import shared_dir, table
 from tomewise.llm.labelled import held_out
 from tomewise.session import fresh_dir
@@ -41,12 +41,21 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= quality.ACCEPT).cast("int"))
 
 
+def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_dir(spark, "tokens")
     manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), path, TOKENIZER)
     return token_files.read_token_files(manifest, path)
 
 
+def op6_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return lsh_forest.nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels, fold=(5, 0))
@@ -63,10 +72,16 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.written(chat.format_chats(turns, TOKENIZER)), TOKENIZER)
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mixing, op2_quality, op5_token_files, op7_toxicity, op9_chat)
-}
+    for f in (
+        op1_mixing, op2_quality, op4_decontam, op5_token_files, op6_lsh_forest, op7_toxicity, op9_chat, op10_jaccard,
+    )
+}
 
 WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 

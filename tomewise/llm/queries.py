@@ -1,10 +1,12 @@
 """The registered queries of the training-data operators, and SQL where it can express them."""
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomewise.llm import chat, decontam, jaccard, lsh_forest, mixing, quality, token_files, toxicity
+from tomewise.llm import (
+    chat, decontam, jaccard, lines, lsh_forest, mixing, quality, substrings, token_files, toxicity,
+)
 from tomewise.llm.common import shared_dir, table
 from tomewise.llm.labelled import held_out
 from tomewise.session import fresh_dir
@@ -19,16 +21,18 @@ MIX_SEED, MIX_EPOCHS = 17, 3
 MIX_SHARE = (8, 10)
 
 
-def with_domain(docs: DataFrame) -> DataFrame:
+def domain_of(source: str) -> Column:
     """The domain of a source: the remainder by 4 of the number its name ends with, 0 without one."""
-    number = F.coalesce(F.nullif(F.regexp_extract("source", r"([0-9]{1,9})$", 1), F.lit("")).cast("int"), F.lit(0))
-    return docs.withColumn("domain", F.concat(F.lit("domain"), (number % 4).cast("string")))
+    number = F.coalesce(F.nullif(F.regexp_extract(source, r"([0-9]{1,9})$", 1), F.lit("")).cast("int"), F.lit(0))
+    return F.concat(F.lit("domain"), (number % 4).cast("string"))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = with_domain(table(spark, sf_dir, "documents")).withColumn("n_tokens", mixing.word_tokens("text"))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", domain_of("source").alias("domain"), "lang", "source", mixing.word_tokens("text").alias("n_tokens")
+    )
     taken = mixing.select_epochs(
-        docs.select("doc_id", *MIX_LEVELS, "n_tokens"), MIX_LEVELS, MIX_WEIGHTS, MIX_SHARE, ["doc_id"],
+        docs, MIX_LEVELS, MIX_WEIGHTS, MIX_SHARE, ["doc_id"],
         max_epochs=MIX_EPOCHS, seed=MIX_SEED,
     )
     return taken.select("doc_id", *MIX_LEVELS, "n_tokens", "epoch", "tokens_taken")
@@ -41,6 +45,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= quality.ACCEPT).cast("int"))
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = lines.remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_lines", "n_removed", F.md5("kept").alias("kept_md5"))
+
+
 def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
 
@@ -63,6 +72,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    return docs.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     planted = spark.createDataFrame(
@@ -79,7 +93,8 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_mixing, op2_quality, op4_decontam, op5_token_files, op6_lsh_forest, op7_toxicity, op9_chat, op10_jaccard,
+        op1_mixing, op2_quality, op3_lines, op4_decontam, op5_token_files, op6_lsh_forest, op7_toxicity,
+        op8_substrings, op9_chat, op10_jaccard,
     )
 }
 
@@ -128,4 +143,22 @@ DOMAIN_SQL = (
 DOCS_SQL = f"""SELECT doc_id, {DOMAIN_SQL} AS domain, coalesce(lang, 'unknown') AS lang,
     coalesce(source, 'unknown') AS source, ({WORDS_SQL})::BIGINT AS n_tokens FROM documents"""
 
-ORACLES: dict[str, str] = {"op1_mixing": mix_sql(DOCS_SQL, MIX_SEED, MIX_EPOCHS, MIX_SHARE)}
+
+def lines_sql(min_lines: int) -> str:
+    run = " || chr(10) || ".join(f"lead(line, {k}) OVER o" if k else "line" for k in range(min_lines))
+    return f"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+    FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, i, {run} AS run FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS nth FROM w WHERE run IS NOT NULL),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM f, (SELECT unnest(range({min_lines})) AS k) WHERE nth > 1),
+d AS (SELECT l.doc_id, count(*) AS n, count(g.i) AS g, string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL) AS kept
+    FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id)
+SELECT doc_id, coalesce(n, 0)::INT AS n_lines, coalesce(g, 0)::INT AS n_removed, md5(coalesce(kept, '')) AS kept_md5
+FROM (SELECT doc_id FROM documents) LEFT JOIN d USING (doc_id)"""
+
+
+ORACLES: dict[str, str] = {
+    "op1_mixing": mix_sql(DOCS_SQL, MIX_SEED, MIX_EPOCHS, MIX_SHARE),
+    "op3_lines": lines_sql(lines.MIN_LINES),
+}

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 SHARE = 0.1
@@ -245,19 +246,19 @@ def contaminated(docs: DataFrame, items: DataFrame, keys: list[str], share: floa
     return found
 
 
+def _flagger(index):
+    @arrow_udf("boolean")
+    def hit(texts: pa.Array) -> pa.Array:
+        find = index.value
+        return pa.array([bool(t and find.search(normal(t))) for t in texts.to_pylist()], pa.bool_())
+
+    return hit
+
+
 def without_contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
     """The documents of ``docs`` that no item contaminates, with all their columns."""
-    from pyspark.sql.functions import arrow_udf
-
     context = docs.sparkSession.sparkContext
     for block in blocks(items):
         index = context.broadcast(Index([(n, t, *budget(len(t), share)) for n, t in block]))
-
-        @arrow_udf("boolean")
-        def hit(texts: pa.Array, index=index) -> pa.Array:
-            find = index.value
-            got = [bool(t and find.search(normal(t))) for t in texts.to_pylist()]
-            return pa.array(got, pa.bool_())
-
-        docs = docs.filter(~hit("text"))
+        docs = docs.filter(~_flagger(index)("text"))
     return docs

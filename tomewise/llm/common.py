@@ -1,12 +1,13 @@
 """What several operators share: tables, words as arrays of 64-bit numbers, Arrow batches."""
 
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tomewise.session import cut, shared_dir
+from tomewise.session import cut, fresh_dir, shared_dir
 
 # Words are what stands between these bytes: blank, tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,6 +27,27 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def cut_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """As ``cut``, with the place of the table, for ``drop_table``."""
+    spark = df.sparkSession
+    path = fresh_dir(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing will read again."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now, not when the driver next happens to collect
+    its garbage. What follows has to read written tables only."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A one-to-one scrambling of 64-bit numbers."""
     x = x.astype(np.uint64, copy=True)
@@ -125,5 +147,3 @@ def binaries(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
 def lists(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.asarray(offsets, np.int32)), pa.array(flat))
 
-
-__all__ = ["SEEDS", "WORD", "binaries", "cut", "lists", "map_batches", "mix", "shared_dir", "slices", "table", "tasks", "text_bytes", "words_of"]

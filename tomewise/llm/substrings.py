@@ -10,8 +10,8 @@ of what they stand for, so that they are the same in all documents and no round
 on the words below it and on a few around it, its context; wherever the same words stand around it again, it is there
 again. Steps:
 
-1. Recompress every document. Each window takes as its anchor a symbol whose context lies inside the window: one of the highest
-   round, and the least name among those. Equal windows have equal anchors at the same place. Neighbouring windows
+1. Recompress every document. Each window takes as its anchor a symbol whose context lies inside the window: one of the longest,
+   and the least name among those. Equal windows have equal anchors at the same place. Neighbouring windows
    with one anchor are a span; its name and a fingerprint of all its words go into a table.
 2. Spark counts names. A span whose name is the only one of its kind has no repeated window. A span that agrees with another
    in its fingerprint too is repeated as a whole.
@@ -34,11 +34,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomewise.llm.common import SEEDS, cut, map_batches, mix, slices, words_of
+from tomewise.llm.common import SEEDS, cut, cut_at, drop_table, map_batches, mix, release, slices, words_of
 
 WINDOW = 35
 # Beyond this round symbols are longer than a window allows.
 ROUNDS = 10
+LONG = 5
 _ROUND = np.uint64(0x9FB21C651E98DF25)
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
@@ -49,7 +50,7 @@ def _join(a: np.ndarray, b: np.ndarray, kind: int) -> np.ndarray:
 
 
 def recompress(words: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS, longest: int = WINDOW):
-    """Yield, per round, (name, begin, end, low, high) of its symbols: words [begin, end) and the words [low, high)
+    """Yield, per round, (name, begin, end, low, high) of its new symbols: words [begin, end) and the words [low, high)
     they depend on. ``doc`` is the document of each word; nothing crosses documents.
 
     A pair depends on its two symbols alone, since neither could go together with another. A symbol that stays
@@ -68,7 +69,7 @@ def recompress(words: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS, longest
         head = np.flatnonzero(new)
         size = np.diff(np.append(head, len(name)))
         name = np.where(size > 1, _join(name[head], size.astype(np.uint64), 1), name[head])
-        tail = head + size - 1
+        tail, run = head + size - 1, size > 1
         if not len(head):
             return
         low, high = np.minimum.reduceat(low, head), np.maximum.reduceat(high, head)
@@ -91,6 +92,7 @@ def recompress(words: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS, longest
         joins[1:] = ~is_right[:-1] & is_right[1:] & (of[1:] == of[:-1])
         head = np.flatnonzero(~joins)
         size = np.diff(np.append(head, len(name)))
+        made = (size > 1) | run[head]
         tail = head + size - 1
         # The neighbour that a symbol would have gone together with.
         before, after = np.maximum(head - 1, 0), np.minimum(head + 1, len(name) - 1)
@@ -107,7 +109,8 @@ def recompress(words: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS, longest
         high = np.where(alone_left, np.maximum(new_high, high_beside), np.where(alone_right, np.maximum(new_high, inner_high), new_high))
         name = np.where(size > 1, _join(name[head], name[tail], 2 + level), name[head])
         of, begin, end = of[head], begin[head], end[tail]
-        yield name, begin, end, low, high
+        # A symbol that was there before depends on no more than it did then.
+        yield name[made], begin[made], end[made], low[made], high[made]
         if not len(name) or (high - low).min() > longest:
             return
 
@@ -154,8 +157,11 @@ def anchors(words: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray
         for fit in [(high - low <= window) & (end - begin >= 2)]
     ]
     name, begin, end, low, high = (np.concatenate([p[i] for p in parts]) for i in range(5))
-    # The longest symbol, of these the least name, of these the first: painted last.
-    order = np.lexsort((-begin, ~name, end - begin))
+    # The longest symbol up to ``LONG`` words, of these the least name, of these the first: painted last. That
+    # lengths beyond do not count makes an anchor last for more windows.
+    rank = (np.minimum(end - begin, LONG).astype(np.uint64) << np.uint64(58)) | (~name >> np.uint64(6))
+    by_place = np.argsort(begin, kind="stable")[::-1]
+    order = by_place[np.argsort(rank[by_place], kind="stable")]
     name, begin, low, high = name[order], begin[order], low[order], high[order]
     from_, to = np.maximum(high - window, 0), low + 1
     count = np.maximum(to - from_, 0)
@@ -243,9 +249,13 @@ def repeated_runs(rows: DataFrame, window: int) -> DataFrame:
     """(rid, runs array<struct<begin, words>>): which words of each row of ``rows (rid, text)`` are covered."""
     from pyspark.sql.functions import arrow_udf
 
-    spans = cut(map_batches(rows, _span_finder(window), SPANS))
+    spark = rows.sparkSession
+    spans, spans_path = cut_at(map_batches(rows, _span_finder(window), SPANS))
     names = spans.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("name")
     shared = cut(spans.join(names, "name"))
+    # Most spans are the only ones of their name, and nothing reads them again.
+    drop_table(spark, spans_path)
+    release(spark)
     # Of spans that agree in all their words one stands for all, and its windows are compared with those of
     # spans that only share the name.
     kinds = cut(
@@ -265,6 +275,7 @@ def repeated_runs(rows: DataFrame, window: int) -> DataFrame:
     windows = cut(
         map_batches(packed.join(chosen, "rid").select("rid", "text", "spans"), _window_printer(window), "f1 BIGINT, f2 BIGINT, rid BIGINT, begin INT")
     )
+    release(spark)
     twice = windows.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     single = windows.join(twice, ["f1", "f2"], "left_semi").select("rid", "begin", F.lit(window).alias("words"))
     return whole.unionByName(single).groupBy("rid").agg(F.collect_set(F.struct("begin", "words")).alias("runs"))

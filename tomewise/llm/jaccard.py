@@ -291,7 +291,8 @@ def groups(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataF
     sets = cut(map_batches(docs, _set_rows(percent, words, _frequent(docs, words)), schema))
     identity = ["n", "h1", "h2"]
     some = sets.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    named = some.groupBy(*identity).agg(F.min("doc_id").alias("node"))
+    # Written down, as are the shared members, so that joins on a hot set or shingle can be split.
+    named = cut(some.groupBy(*identity).agg(F.min("doc_id").alias("node")))
     nodes = cut(
         some.join(named, identity).filter(F.col("doc_id") == F.col("node"))
         .select("node", "n", "prefix", "bits").dropDuplicates(["node", "n"])
@@ -299,7 +300,7 @@ def groups(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataF
 
     # Tiles of nodes that share a prefix member.
     members = nodes.select("node", F.explode("prefix").alias("s"))
-    shared = members.groupBy("s").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") > 1)
+    shared = cut(members.groupBy("s").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") > 1))
     tiled = members.join(shared, "s").select(
         "node", "s", F.explode(_blocks(F.col("times"), F.col("node"), TILE)).alias("block")
     )

@@ -251,7 +251,8 @@ def repeated_runs(rows: DataFrame, window: int) -> DataFrame:
 
     spark = rows.sparkSession
     spans, spans_path = cut_at(map_batches(rows, _span_finder(window), SPANS))
-    names = spans.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("name")
+    # Written down, so that both sides of the join are plain shuffles and a hot name can be split.
+    names = cut(spans.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("name"))
     shared = cut(spans.join(names, "name"))
     # Most spans are the only ones of their name, and nothing reads them again.
     drop_table(spark, spans_path)

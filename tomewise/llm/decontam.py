@@ -70,7 +70,7 @@ def qgrams(code: np.ndarray, q: int) -> np.ndarray:
             done += size
         if done < q:
             run = run[:-size] * base + run[size:]
-            base, size = base * base, 2 * size
+            base, size = np.uint64(int(base) ** 2 & (1 << 64) - 1), 2 * size
     return total * _BASE
 
 

@@ -78,13 +78,25 @@ def test_same_seed_same_model(planted):
     )
 
 
-def test_null_and_nan_ratings_do_not_reach_the_fit(spark, planted):
-    bad = spark.createDataFrame(
-        [(1, 1, None), (2, 2, float("nan")), (3, 3, 9.0)], planted.schema
-    )
-    config = AlsConfig(seed=3, rank=2, max_iter=1)
-    dirty = model.fit(planted.unionByName(bad), config)
-    assert dirty.userFactors.count() == 300
+@pytest.mark.parametrize("bad", [None, float("nan")])
+def test_a_fit_refuses_null_and_nan(spark, planted, bad):
+    rows = spark.createDataFrame([(1, 1, bad)], planted.schema)
+    with pytest.raises(Exception, match="(?i)null|nan"):
+        model.fit(planted.unionByName(rows), AlsConfig(seed=3, rank=2, max_iter=1))
+
+
+def test_ratings_of_any_scale_are_trained_on(spark, planted):
+    wide = spark.createDataFrame([(9001, 1, 9.0), (9002, 2, 0.5)], planted.schema)
+    fitted = model.fit(planted.unionByName(wide), AlsConfig(seed=3, rank=2, max_iter=1))
+    assert fitted.userFactors.count() == 302
+
+
+def test_blocks_do_not_follow_the_number_of_ratings():
+    config = AlsConfig(seed=3)
+    few, many = config.estimator(49_999_999), config.estimator(50_000_000)
+    assert few.getNumUserBlocks() == many.getNumUserBlocks() == config.blocks
+    with pytest.raises(ValueError, match="need 11 blocks"):
+        config.estimator(50_000_001)
 
 
 def test_unknown_user_is_dropped_by_scoring(spark, planted):

@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 # Send the functions themselves, so that executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-USERS_PER_BLOCK = 4096
-ITEMS_PER_BLOCK = 32768
+USERS_PER_BLOCK = 16384
+ITEMS_PER_BLOCK = 16384
+# Below this many users a block is not worth its own copy of the items.
+_LEAST_USERS = 1024
 # Scores held at once by a task: 4M doubles.
 _SCORES = 1 << 22
 _GROUP = 32
@@ -131,10 +133,12 @@ def best_items(
         for side in (user_factors, item_factors)
     )
     item_blocks = max(1, -(-item_factors.count() // items_per_block))
-    # Several block pairs per core, even where the data would fit into one.
+    # Several block pairs per core where there are users for them: the items are copied once per block of
+    # users, so the number of copies follows the users and not the cluster.
     cores = spark.sparkContext.defaultParallelism
-    busy = -(-4 * cores // item_blocks)
-    user_blocks = max(-(-user_factors.count() // users_per_block), busy)
+    users = user_factors.count()
+    busy = min(-(-4 * cores // item_blocks), -(-users // _LEAST_USERS))
+    user_blocks = max(1, -(-users // users_per_block), busy)
     # Fixed, because block pairs are small in bytes and heavy in work: AQE would merge them.
     pairs = user_blocks * item_blocks
     tasks = min(pairs, max(4 * cores, pairs // _PAIRS_PER_TASK))

@@ -10,7 +10,6 @@ from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from tomewise.operators.quality import screen
 from tomewise.operators.stats import rmse
 from tomewise.session import shared_dir
 
@@ -19,28 +18,28 @@ RANKS = (10, 20, 50, 70)
 REGS = (0.15, 0.20, 0.25)
 SERVED_RANK, SERVED_REG, SERVED_ITERATIONS = 50, 0.20, 10
 
-# Every fitting task holds one buffer per pair of blocks, hence the upper bound.
-_RATINGS_PER_BLOCK = 5_000_000
-_MIN_BLOCKS, _MAX_BLOCKS = 10, 2000
+# What one block may hold; a task solves a block at a time.
+RATINGS_PER_BLOCK = 5_000_000
 
 
 @dataclass(frozen=True)
 class AlsConfig:
     """``seed`` has no default on purpose: Spark's own differs between interpreter starts.
 
-    ``blocks`` follows the number of ratings, not the cluster, unless given: it decides the
-    starting point of the factors, and the same data should give the same model anywhere.
+    ``blocks`` is a constant of the job, the same for every fit of it: it decides the starting point of the
+    factors. Give at least one per ``RATINGS_PER_BLOCK`` ratings; a fit that has more to a block raises.
     """
 
     seed: int
     rank: int = SERVED_RANK
     reg: float = SERVED_REG
     max_iter: int = SERVED_ITERATIONS
-    blocks: int | None = None
+    blocks: int = 10
 
     def estimator(self, n_ratings: int) -> ALS:
-        wanted = -(-n_ratings // _RATINGS_PER_BLOCK)
-        blocks = self.blocks or min(max(wanted, _MIN_BLOCKS), _MAX_BLOCKS)
+        blocks = self.blocks
+        if n_ratings > blocks * RATINGS_PER_BLOCK:
+            raise ValueError(f"{n_ratings} ratings need {-(-n_ratings // RATINGS_PER_BLOCK)} blocks, not {blocks}")
         return ALS(
             rank=self.rank,
             regParam=self.reg,
@@ -60,9 +59,9 @@ class AlsConfig:
 
 
 def usable(ratings: DataFrame) -> DataFrame:
-    """Ratings that ALS accepts: no NULL or NaN, values in range."""
-    good, _ = screen(ratings, ["user_id", "book_id"])
-    return good.select("user_id", "book_id", "rating")
+    """The columns that ALS reads. All rows are trained on, whatever their scale; a NULL or NaN among
+    them makes the fit raise, so screen doubtful ratings first."""
+    return ratings.select("user_id", "book_id", "rating")
 
 
 def fit(ratings: DataFrame, config: AlsConfig) -> ALSModel:

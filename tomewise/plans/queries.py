@@ -16,7 +16,7 @@ from tomewise.streaming.refresh import Refresh, read_rating_files, start
 
 SCORE_DECIMALS = 6
 PAGE = 20
-SMALL_ALS = model.AlsConfig(seed=7, rank=8, max_iter=3)
+SERVED_ALS = model.AlsConfig(seed=7)
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,9 +49,13 @@ def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _fixed_recs(spark: SparkSession, sf_dir: str, seen: DataFrame | None = None) -> DataFrame:
+def _fixed_recs(
+    spark: SparkSession, sf_dir: str, seen: DataFrame | None = None, users: DataFrame | None = None
+) -> DataFrame:
+    """Recommendations for all users, or only for ``users (id)``: the others are not scored."""
     vectors = derived.factors(spark, sf_dir)
-    return best_items(vectors, vectors, 10, seen=seen, decimals=SCORE_DECIMALS).select(
+    asked = vectors if users is None else vectors.join(users, "id", "left_semi")
+    return best_items(asked, vectors, 10, seen=seen, decimals=SCORE_DECIMALS).select(
         "user_id", "book_id", "prediction"
     )
 
@@ -260,22 +264,26 @@ def segment_recs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view for the users of one market segment."""
     customers = derived.table(spark, sf_dir, "customer")
     segment = customers.filter(F.col("c_mktsegment") == "BUILDING")
+    users = segment.select(F.col("c_custkey").cast("int").alias("user_id"))
     return serve.recs_view(
-        _fixed_recs(spark, sf_dir),
+        _fixed_recs(spark, sf_dir, users=users.withColumnRenamed("user_id", "id")),
         derived.ratings(spark, sf_dir),
         _catalog(spark, sf_dir),
-        segment.select(F.col("c_custkey").cast("int").alias("user_id")),
+        users,
     )
 
 
 def new_user_recs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users in the upper half of the id range, as if they had come after the seed data."""
-    recs = cut(_fixed_recs(spark, sf_dir))
-    return recommend.newer_users(recs, recs.agg(F.max("user_id")).first()[0] // 2)
+    ids = derived.factors(spark, sf_dir).select("id")
+    cutoff = ids.agg(F.max("id")).first()[0] // 2
+    newer = ids.filter(F.col("id") > cutoff)
+    return recommend.newer_users(_fixed_recs(spark, sf_dir, users=newer), cutoff)
 
 
 def one_user_recs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return serve.recs_of_user(_fixed_recs(spark, sf_dir), 42)
+    user = derived.factors(spark, sf_dir).filter(F.col("id") == 42).select("id")
+    return serve.recs_of_user(_fixed_recs(spark, sf_dir, users=user), 42)
 
 
 # Splits and trained models
@@ -307,7 +315,7 @@ def random_split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def als_recs_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recommend_job(derived.ratings(spark, sf_dir), JobConfig(als=SMALL_ALS))
+    return recommend_job(derived.ratings(spark, sf_dir), JobConfig(als=SERVED_ALS))
 
 
 def als_unseen_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,27 +328,25 @@ def als_unseen_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def als_recs_filter_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    config = JobConfig(als=SMALL_ALS, unseen="filter_after", fit_on="train")
+    config = JobConfig(als=SERVED_ALS, unseen="filter_after", fit_on="train")
     return recommend_job(derived.ratings(spark, sf_dir), config)
 
 
 def als_holdout_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
     training, _, test = split.by_hash(cut(derived.ratings(spark, sf_dir)), seed=7)
-    return stats.rmse(model.score(model.fit(training, SMALL_ALS), test))
+    return stats.rmse(model.score(model.fit(training, SERVED_ALS), test))
 
 
 def als_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     training, validation, _ = split.by_hash(cut(derived.ratings(spark, sf_dir)), seed=7)
-    return model.grid_metrics(
-        training, validation, SMALL_ALS, ranks=(4, 8), regs=(0.1, 0.2), parallelism=2
-    )
+    return model.grid_metrics(training, validation, SERVED_ALS, parallelism=2)
 
 
 def als_grid_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many validation ratings each grid point could score, for a split that SQL can do."""
     training, validation, _ = _key_split(cut(derived.ratings(spark, sf_dir)))
     metrics = model.grid_metrics(
-        training, validation, SMALL_ALS, ranks=(2, 4), regs=(0.1, 0.2), parallelism=2
+        training, validation, SERVED_ALS, ranks=(2, 4), regs=(0.1, 0.2), parallelism=2
     )
     return metrics.select("grid_pos", "rank", "reg", "scored")
 
@@ -349,10 +355,16 @@ def als_best_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.best_point(als_grid(spark, sf_dir))
 
 
+def als_tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole grid is searched, and its best point recommends."""
+    config = JobConfig(als=SERVED_ALS, tune=True, parallelism=2)
+    return recommend_job(derived.ratings(spark, sf_dir), config)
+
+
 def als_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recommendations for the users who have rated most kinds of books."""
     ratings = cut(derived.ratings(spark, sf_dir))
-    fitted = model.fit(ratings, SMALL_ALS)
+    fitted = model.fit(ratings, SERVED_ALS)
     return recommend.top_n_for(fitted, quality.active_users(ratings, 30))
 
 
@@ -381,7 +393,7 @@ def stream_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_recs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The recommendations after the stream has been absorbed."""
-    path = _run_stream(spark, sf_dir, JobConfig(als=SMALL_ALS))
+    path = _run_stream(spark, sf_dir, JobConfig(als=SERVED_ALS))
     return tables.read_version(spark, f"{path}/new_recs")
 
 
@@ -435,6 +447,7 @@ QUERIES = {
         als_grid,
         als_grid_scored,
         als_best_point,
+        als_tuned,
         als_subset,
         stream_refresh,
         stream_recs,

@@ -57,3 +57,6 @@ def ensure_tables(spark: SparkSession, source: str = "parquet") -> None:
     for name, schema in TABLES.items():
         if not spark.catalog.tableExists(name):
             spark.catalog.createTable(name, schema=schema, source=source)
+
+# What every stored rating must have.
+RATING_NUMBERS = ("col_id", "user_id", "rating", "book_id")

@@ -1,5 +1,6 @@
 """Session settings, and the shared folder that lineage is cut into."""
 
+import re
 import tempfile
 import uuid
 
@@ -41,7 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tomewise-"))
     return context.getCheckpointDir()

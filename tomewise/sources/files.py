@@ -1,30 +1,41 @@
 """CSV sources."""
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from tomewise.schemas import BOOKS_FILE, RATINGS, RATINGS_FILE, conform
+from tomewise.schemas import BOOKS_FILE, RATING_NUMBERS, RATINGS, RATINGS_FILE, conform
 from tomewise.session import cut
 
 CORRUPT = "_corrupt"
 
 
-def read_by_name(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def _reader(spark: SparkSession, line_breaks: bool = False) -> DataFrameReader:
+    """A quote inside a quoted value is doubled, as most programs write it. With ``line_breaks`` quoted
+    values may hold them; such files are not split among tasks."""
+    return spark.read.option("header", True).option("escape", '"').option("multiLine", line_breaks)
+
+
+def read_by_name(
+    spark: SparkSession, path: str, schema: StructType, line_breaks: bool = False
+) -> DataFrame:
     """The named columns of a CSV with a header, in any order, among any others.
 
     Everything is read as text and cast: types are declared, and nothing is inferred from
     the data except the header line. A value that does not fit raises.
     """
-    return conform(spark.read.option("header", True).csv(path), schema)
+    return conform(_reader(spark, line_breaks).csv(path), schema)
 
 
 def rating_file(spark: SparkSession, path: str) -> DataFrame:
     return read_by_name(spark, path, RATINGS_FILE)
 
 
-def book_file(spark: SparkSession, path: str) -> DataFrame:
-    return read_by_name(spark, path, BOOKS_FILE)
+def book_file(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
+    return read_by_name(spark, path, BOOKS_FILE, line_breaks)
 
 
 def lookup_file(spark: SparkSession, path: str) -> DataFrame:
@@ -32,7 +43,7 @@ def lookup_file(spark: SparkSession, path: str) -> DataFrame:
 
     ``position`` orders the rows as they stand in the file, for "first row wins".
     """
-    raw = spark.read.option("header", True).csv(path)
+    raw = _reader(spark).csv(path)
     position = F.struct(
         "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()
     )
@@ -50,8 +61,8 @@ def ratings_by_position(spark: SparkSession, path: str) -> DataFrame:
     Any bad row fails a load of all columns, which is what appending them to a table is.
     """
     return (
-        spark.read.schema(RATINGS)
-        .option("header", True)
+        _reader(spark)
+        .schema(RATINGS)
         .option("mode", "FAILFAST")
         .csv(path)
     )
@@ -60,13 +71,16 @@ def ratings_by_position(spark: SparkSession, path: str) -> DataFrame:
 def ratings_with_quarantine(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Like :func:`ratings_by_position`, but bad rows are set aside with their text."""
     read = (
-        spark.read.schema(StructType([*RATINGS, StructField(CORRUPT, StringType())]))
-        .option("header", True)
+        _reader(spark)
+        .schema(StructType([*RATINGS, StructField(CORRUPT, StringType())]))
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
         .csv(path)
     )
     # Spark only notices a bad value in a column that is read, so read all of them once.
     read = cut(read)
-    broken = F.col(CORRUPT).isNotNull()
-    return read.filter(~broken).drop(CORRUPT), read.filter(broken)
+    # An empty number is no number either.
+    empty = reduce(or_, [F.col(name).isNull() for name in RATING_NUMBERS])
+    text = F.coalesce(F.col(CORRUPT), F.to_csv(F.struct(*RATINGS.fieldNames())))
+    broken = F.col(CORRUPT).isNotNull() | empty
+    return read.filter(~broken).drop(CORRUPT), read.filter(broken).withColumn(CORRUPT, text)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 # text beside them is ``_VALUE``.
 BOOK = (
     "id BIGINT, isbn STRING, title STRING, image_url STRING, description STRING,"
-    " authors STRUCT<author: STRUCT<name: STRING>>, publication_year INT"
+    " authors STRUCT<author: ARRAY<STRUCT<name: STRING>>>, publication_year INT"
 )
 WORK = (
     "best_book STRUCT<id: STRUCT<_VALUE: BIGINT, _type: STRING>, title: STRING,"
@@ -16,13 +16,17 @@ WORK = (
 SEARCH = f"search STRUCT<results: STRUCT<work: ARRAY<STRUCT<{WORK}>>>>"
 
 
+_BOOK_FIELDS = ("id", "isbn", "title", "image_url", "description", "authors", "publication_year")
+
+
 def _book_columns(book: str = "") -> list[Column]:
     at = f"{book}." if book else ""
+    no_id = F.raise_error(F.lit("a book payload has no id"))
     return [
-        F.col(f"{at}id").cast("int").alias("ext_book_id"),
+        F.coalesce(F.col(f"{at}id").cast("int"), no_id).alias("ext_book_id"),
         F.col(f"{at}isbn").alias("isbn10"),
         F.col(f"{at}title").alias("title"),
-        F.col(f"{at}authors.author.name").alias("author"),
+        F.nullif(F.array_join(F.col(f"{at}authors.author.name"), ", "), F.lit("")).alias("author"),
         F.col(f"{at}publication_year").alias("publication_year"),
         F.col(f"{at}image_url").alias("image_url"),
         F.col(f"{at}description").alias("description"),
@@ -39,9 +43,16 @@ def _work_columns(work: str) -> list[Column]:
 
 
 def parse_books(payloads: DataFrame, column: str = "payload") -> DataFrame:
-    """One book per payload."""
-    parsed = payloads.select(F.from_xml(column, BOOK, {"mode": "FAILFAST"}).alias("book"))
-    return parsed.select(*_book_columns("book"))
+    """One book per payload, which is the book element or holds it one level below its root.
+
+    Several authors are joined in their order. A payload without a book id raises.
+    """
+    fields = BOOK.replace(" STRING", ": STRING").replace(" BIGINT", ": BIGINT").replace(" INT", ": INT")
+    inner = fields.replace("::", ":").replace("authors STRUCT", "authors: STRUCT")
+    schema = f"{BOOK}, book STRUCT<{inner}>"
+    parsed = payloads.select(F.from_xml(column, schema, {"mode": "FAILFAST"}).alias("root"))
+    book = F.coalesce("root.book", F.struct(*[F.col(f"root.{name}") for name in _BOOK_FIELDS]))
+    return parsed.select(book.alias("book")).select(*_book_columns("book"))
 
 
 def parse_searches(payloads: DataFrame, column: str = "payload") -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tomewise.llm.common import cut
 
 TREES, BITS, SEED = 24, 64, 11
-SHARE, LEAST = 0.6, 4000
+SHARE, LEAST = 0.75, 4000
 BLOCK_ROWS, QUERY_ROWS = 8192, 2048
 INDEX = "n INT, ids BINARY, id_bounds BINARY, vectors BINARY, keys BINARY, orders BINARY"
 

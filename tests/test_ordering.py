@@ -58,3 +58,17 @@ def test_running_total(spark, keys, data):
         near = rows(running_total(ranged, ["k"], "w", "upto", around=[at]))
         assert set(near) <= set(expected)
         assert any(upto - w <= at < upto for _, w, upto in near)
+
+
+def test_equal_rows_do_not_make_one_large_range(spark):
+    df = spark.range(200_000, numPartitions=8).select(
+        F.when(F.col("id") % 2 == 0, 5).otherwise(F.col("id")).alias("at")
+    )
+    numbered = number_rows(df, ["at"], "n", repeats=True)
+    path = numbered.inputFiles()[0].rsplit("/", 1)[0]
+    sizes = [r["count"] for r in spark.read.parquet(path).groupBy("_range").count().collect()]
+    assert max(sizes) <= 2 * 200_000 / len(sizes)
+    ends = numbered.filter("at = 5").agg(F.min("n"), F.max("n"), F.countDistinct("n")).first()
+    # Half of the rows, and the odd id 5.
+    assert ends[1] - ends[0] + 1 == ends[2] == 100_001
+    assert numbered.agg(F.countDistinct("n"), F.max("n")).first()[:] == (200_000, 200_000)

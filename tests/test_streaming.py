@@ -1,3 +1,6 @@
+from pathlib import Path
+
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -5,8 +8,9 @@ from tomewise.operators.upsert import ingest
 from tomewise.plans.model import AlsConfig
 from tomewise.plans.recommend_job import JobConfig
 from tomewise.schemas import GR_BOOKS, RATINGS, struct, INT, TEXT
+from tomewise.session import shared_dir
 from tomewise.sources import tables
-from tomewise.streaming.refresh import Refresh, read_rating_files, start, without_redelivery
+from tomewise.streaming.refresh import ForeignCheckpoint, Refresh, read_rating_files, start, without_redelivery
 
 BATCH = "arrival BIGINT, username STRING, ext_book_id INT, isbn10 STRING, rating INT, ts TIMESTAMP"
 
@@ -98,3 +102,39 @@ def test_redelivered_ratings_are_dropped(spark, tmp_path):
     once = without_redelivery(stream, "arrival", "10 minutes")
     start(once, refresh(spark, f"{tmp_path}/out"), f"{tmp_path}/checkpoint").awaitTermination()
     assert absorbed(spark, tmp_path).count() == 3
+
+
+def test_another_checkpoint_is_refused(spark, tmp_path):
+    drop_file(events(spark, range(0, 5)), tmp_path / "in", "a")
+    run(spark, tmp_path)
+    before = rows(absorbed(spark, tmp_path))
+    stream = read_rating_files(spark, f"{tmp_path}/in/*", events(spark, [0]).schema)
+    state = refresh(spark, f"{tmp_path}/out")
+    with pytest.raises(ForeignCheckpoint):
+        start(stream, state, f"{tmp_path}/other")
+    # Versions that no checkpoint knows of.
+    unbound = refresh(spark, f"{tmp_path}/unbound")
+    unbound(events(spark, range(3)), 0)
+    with pytest.raises(ForeignCheckpoint):
+        start(stream, unbound, f"{tmp_path}/other")
+    assert rows(absorbed(spark, tmp_path)) == before
+
+
+def test_ten_batches_leave_no_folders_and_merge(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tomewise.streaming.refresh.MERGE_AT", 4)
+    state = refresh(spark, f"{tmp_path}/out")
+    state(events(spark, range(0, 2)), 0)
+    assert tables.versions(spark, f"{tmp_path}/out/ratings") == [0]
+    kept = len(list(Path(shared_dir(spark).removeprefix("file:")).iterdir()))
+    for n in range(1, 10):
+        state(events(spark, range(2 * n, 2 * n + 2)), n)
+    assert len(list(Path(shared_dir(spark).removeprefix("file:")).iterdir())) == kept
+    assert sorted(r.col_id for r in absorbed(spark, tmp_path).collect()) == list(range(2, 22))
+    folders = {p.name for p in (tmp_path / "out" / "ratings").iterdir()}
+    assert folders == {"upto=3", "upto=7", "version=8", "version=9"}
+    assert tables.last_version(spark, f"{tmp_path}/out/ratings") == 9
+    before = rows(absorbed(spark, tmp_path))
+    state(events(spark, range(18, 20)), 9)
+    assert rows(absorbed(spark, tmp_path)) == before
+    with pytest.raises(LookupError):
+        tables.read_versions_before(spark, f"{tmp_path}/out/ratings", 5, RATINGS)

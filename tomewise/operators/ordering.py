@@ -21,14 +21,22 @@ def _with_before(totals: DataFrame) -> DataFrame:
     return totals.withColumn("_before", F.coalesce(F.sum("_total").over(earlier), F.lit(0)))
 
 
-def number_rows(df: DataFrame, order_by: list[str], name: str, start: int = 1) -> DataFrame:
+def number_rows(
+    df: DataFrame, order_by: list[str], name: str, start: int = 1, repeats: bool = False
+) -> DataFrame:
     """Add gap-free numbers ``start, start+1, ...`` in the order of ``order_by``.
 
-    ``order_by`` should identify a row; rows equal in all of it are numbered arbitrarily.
+    ``order_by`` should identify a row; rows equal in all of it are numbered arbitrarily. With ``repeats``
+    there may be any number of equal rows: their place in a written table splits them among ranges.
     """
+    order = order_by
+    if repeats:
+        df = cut(df).withColumn("_place", F.monotonically_increasing_id())
+        order = [*order_by, "_place"]
     placed = cut(
-        df.repartitionByRange(*order_by)
-        .sortWithinPartitions(*order_by)
+        df.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .drop("_place")
         .withColumn("_at", F.monotonically_increasing_id())
         .withColumn("_range", F.shiftright("_at", _ROW_BITS).cast("int"))
     )

@@ -23,7 +23,8 @@ def by_hash(
     df: DataFrame, seed: int, weights=WEIGHTS, keys=("user_id", "book_id")
 ) -> list[DataFrame]:
     """Split by a hash of the key, so that neither partitioning nor retries move a row."""
-    bucket = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(_BUCKETS))
+    name = F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
+    bucket = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") % _BUCKETS
     return by_key(df, bucket, _BUCKETS, weights)
 
 

@@ -107,6 +107,13 @@ marked AS (
   FROM ratings)"""
 
 
+HASHED = """
+hashed AS (
+  SELECT user_id, book_id,
+         CAST('0x' || substr(md5(user_id || ':' || book_id || ':7'), 1, 8) AS BIGINT) % 10000 AS bucket
+  FROM ratings)"""
+
+
 def _best(scores: str, name: str = "recs") -> str:
     return f"""
 {name} AS (
@@ -149,6 +156,17 @@ def _describe(value: str, source: str, decimals: int = 6) -> str:
     )
 
 
+LOOKUP_LOAD = f"""WITH {ECONOMY}
+        SELECT gr_id, ext_book_id, isbn10 FROM (
+          SELECT CAST(l_partkey AS INTEGER) AS gr_id,
+                 CAST(100000 + 7 * l_partkey AS INTEGER) AS ext_book_id,
+                 lpad(CAST(l_suppkey AS VARCHAR), 10, '0') AS isbn10,
+                 row_number() OVER (PARTITION BY l_partkey
+                                    ORDER BY l_orderkey, l_linenumber, l_suppkey) AS place
+          FROM lineitem)
+        WHERE place = 1 AND gr_id NOT IN (SELECT gr_id FROM economy)"""
+
+
 ORACLES = {
     "rating_counts": f"""WITH {RATINGS}
         SELECT '# of Ratings' AS characteristic, count(rating) AS count FROM ratings
@@ -194,15 +212,27 @@ ORACLES = {
         SELECT row_number() OVER (ORDER BY user_id, book_id) AS col_id,
                user_id, rating, book_id, username, isbn10
         FROM ratings LEFT JOIN users ON user_id = id LEFT JOIN gr_books ON book_id = gr_id""",
-    "lookup_load": f"""WITH {ECONOMY}
-        SELECT gr_id, ext_book_id, isbn10 FROM (
-          SELECT CAST(l_partkey AS INTEGER) AS gr_id,
-                 CAST(100000 + 7 * l_partkey AS INTEGER) AS ext_book_id,
-                 lpad(CAST(l_suppkey AS VARCHAR), 10, '0') AS isbn10,
-                 row_number() OVER (PARTITION BY l_partkey
-                                    ORDER BY l_orderkey, l_linenumber, l_suppkey) AS place
-          FROM lineitem)
-        WHERE place = 1 AND gr_id NOT IN (SELECT gr_id FROM economy)""",
+    "rating_file_load": f"WITH {RATINGS} SELECT book_id, user_id, rating FROM ratings",
+    "book_file_load": f"""WITH {BOOKS}
+        SELECT ext_book_id AS id,
+               CASE ext_book_id % 3 WHEN 0 THEN 'The "' || title || '", by ' || author
+                    WHEN 1 THEN title || chr(10) || 'Volume ' || author ELSE title END AS title
+        FROM books""",
+    "lookup_file_load": LOOKUP_LOAD,
+    "ratings_quarantine": f"""WITH {RATINGS}, {USERS}, {GR_BOOKS},
+        t AS (
+          SELECT row_number() OVER (ORDER BY user_id, book_id) AS col_id,
+                 user_id, rating, book_id, username, isbn10
+          FROM ratings LEFT JOIN users ON user_id = id LEFT JOIN gr_books ON book_id = gr_id)
+        SELECT col_id, user_id, rating, book_id, username, isbn10, CAST(NULL AS VARCHAR) AS reject
+        FROM t WHERE col_id % 11 <> 0 AND col_id % 13 <> 0
+        UNION ALL
+        SELECT NULL, NULL, NULL, NULL, NULL, NULL, concat_ws(',', CAST(col_id AS VARCHAR),
+               CASE WHEN col_id % 11 <> 0 THEN CAST(user_id AS VARCHAR) ELSE '' END,
+               CASE WHEN col_id % 13 = 0 THEN 'x' ELSE CAST(rating AS VARCHAR) END,
+               CAST(book_id AS VARCHAR), username, isbn10)
+        FROM t WHERE col_id % 11 = 0 OR col_id % 13 = 0""",
+    "lookup_load": LOOKUP_LOAD,
     "profile_view": f"""WITH {RATINGS}, {CATALOG}
         SELECT user_id, ext_book_id, title, image_url, rating
         FROM ratings LEFT JOIN catalog USING (book_id)""",
@@ -220,6 +250,11 @@ ORACLES = {
                coalesce(image_url, 'default-book-cover.jpg') AS image_url,
                ext_book_id IS NOT NULL AS rateable
         FROM books""",
+    "book_by_id": f"""WITH {BOOKS}
+        SELECT ext_book_id, title, author, publication_year,
+               coalesce(image_url, 'default-book-cover.jpg') AS image_url,
+               ext_book_id IS NOT NULL AS rateable
+        FROM books WHERE ext_book_id = 100294""",
     "book_links": f"""WITH {BOOKS}
         SELECT ext_book_id,
                'https://books.example/search?q=' || replace(url_encode(title), '%20', '+') AS url,
@@ -278,11 +313,30 @@ ORACLES = {
             AND book_id IN (SELECT book_id FROM training))
         SELECT CAST(grid_pos AS INTEGER) AS grid_pos, CAST(rank AS INTEGER) AS rank,
                CAST(reg AS DOUBLE) AS reg, scored
-        FROM (VALUES (0, 2, 0.1), (1, 2, 0.2), (2, 4, 0.1), (3, 4, 0.2)) g(grid_pos, rank, reg),
+        FROM (VALUES (0, 10, 0.15), (1, 10, 0.2), (2, 10, 0.25), (3, 20, 0.15), (4, 20, 0.2), (5, 20, 0.25),
+                     (6, 50, 0.15), (7, 50, 0.2), (8, 50, 0.25), (9, 70, 0.15), (10, 70, 0.2), (11, 70, 0.25)
+             ) g(grid_pos, rank, reg),
              scored""",
+    "als_holdout_scored": f"""WITH {RATINGS}, {HASHED},
+        training AS (SELECT * FROM hashed WHERE bucket < 6000)
+        SELECT count(*) AS scored FROM hashed WHERE bucket >= 8000
+          AND user_id IN (SELECT user_id FROM training)
+          AND book_id IN (SELECT book_id FROM training)""",
+    "als_filter_after_counts": "SELECT CAST(0 AS BIGINT) AS rated, CAST(0 AS BIGINT) AS over_limit",
+    "hash_split_sizes": f"""WITH {RATINGS}, {HASHED}
+        SELECT 'training' AS part, count(*) AS rows FROM hashed WHERE bucket < 6000
+        UNION ALL SELECT 'validation', count(*) FROM hashed WHERE bucket >= 6000 AND bucket < 8000
+        UNION ALL SELECT 'test', count(*) FROM hashed WHERE bucket >= 8000""",
     "key_split_sizes": f"""WITH {RATINGS}, {MARKED}
         SELECT 'training' AS part, count(*) AS rows FROM marked WHERE bucket < 6
         UNION ALL SELECT 'validation', count(*) FROM marked WHERE bucket IN (6, 7)
         UNION ALL SELECT 'test', count(*) FROM marked WHERE bucket > 7""",
     "stream_refresh": f"WITH {INGESTED} SELECT * FROM ingested",
+    "stream_redelivered": f"WITH {INGESTED} SELECT * FROM ingested",
+    "stream_rec_counts": f"""WITH {INGESTED},
+        pairs AS (SELECT user_id, book_id FROM ratings UNION SELECT user_id, book_id FROM ingested)
+        SELECT user_id,
+               least(10, (SELECT count(DISTINCT book_id) FROM pairs) - count(*)) AS recs,
+               CAST(0 AS BIGINT) AS rated
+        FROM pairs GROUP BY user_id""",
 }

@@ -12,7 +12,7 @@ from tomewise.plans.recommend_job import JobConfig, recommend_job
 from tomewise.schemas import RATINGS, conform
 from tomewise.session import cut, fresh_dir
 from tomewise.sources import files, tables, xmlbooks
-from tomewise.streaming.refresh import Refresh, read_rating_files, start
+from tomewise.streaming.refresh import Refresh, read_rating_files, start, without_redelivery
 
 SCORE_DECIMALS = 6
 PAGE = 20
@@ -126,6 +126,57 @@ def ratings_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(RATINGS).parquet(table)
 
 
+def rating_file_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ratings through a CSV that is read by column name, in another order and among others."""
+    csv = fresh_dir(spark, "rating-file")
+    ratings = derived.ratings(spark, sf_dir).withColumn("note", F.lit('said "yes", twice'))
+    ratings.select("note", "rating", "user_id", "book_id").write.option("header", True).option("escape", '"').csv(csv)
+    return files.rating_file(spark, csv)
+
+
+def book_file_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books whose titles hold quotes, commas and line breaks, through a CSV."""
+    csv = fresh_dir(spark, "book-file")
+    quoted = F.concat(F.lit('The "'), F.col("title"), F.lit('", by '), F.col("author"))
+    broken = F.concat(F.col("title"), F.lit("\nVolume "), F.col("author"))
+    books = derived.books(spark, sf_dir).select(
+        F.when(F.col("ext_book_id") % 3 == 0, quoted).when(F.col("ext_book_id") % 3 == 1, broken).otherwise(F.col("title")).alias("title"),
+        "author",
+        F.col("ext_book_id").alias("id"),
+    )
+    books.write.option("header", True).option("escape", '"').csv(csv)
+    return files.book_file(spark, csv, line_breaks=True)
+
+
+def lookup_file_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``lookup_load``, where the order of the rows is that of a file."""
+    csv, order = fresh_dir(spark, "lookup-file"), ["l_orderkey", "l_linenumber", "l_suppkey"]
+    rows = derived.table(spark, sf_dir, "lineitem").repartitionByRange(*order).sortWithinPartitions(*order)
+    rows.select(
+        F.col("l_partkey").alias("r_index"),
+        derived.ext_book_id("l_partkey").alias("book_id"),
+        derived.isbn10("l_suppkey").alias("isbn"),
+    ).write.option("header", True).csv(csv)
+    return tables.new_lookup_rows(files.lookup_file(spark, csv), _economy_lookup(spark, sf_dir), ["position"])
+
+
+def ratings_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rating table through a CSV with empty and broken cells: rows that are right, and the text of
+    those that are not."""
+    csv = fresh_dir(spark, "rating-cells")
+    row, text = F.col("col_id"), lambda name: F.col(name).cast("string")
+    cells = _rating_table(spark, sf_dir).select(
+        "col_id",
+        F.when(row % 11 != 0, text("user_id")).alias("user_id"),
+        F.when(row % 13 == 0, "x").otherwise(text("rating")).alias("rating"),
+        "book_id", "username", "isbn10",
+    )
+    cells.write.option("header", True).csv(csv)
+    good, bad = files.ratings_with_quarantine(spark, csv)
+    rejects = bad.select(F.col(files.CORRUPT).alias("reject"))
+    return good.unionByName(rejects, allowMissingColumns=True)
+
+
 def lookup_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lookup rows with many repeats per id; the first of each is added if it is new."""
     order = ["l_orderkey", "l_linenumber", "l_suppkey"]
@@ -158,6 +209,12 @@ def book_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serve.details(derived.books(spark, sf_dir), derived.DEFAULT_COVER)
 
 
+def book_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One book, by its external id."""
+    one = derived.books(spark, sf_dir).filter(F.col("ext_book_id") == 100294)
+    return serve.details(one, derived.DEFAULT_COVER)
+
+
 def book_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.books(spark, sf_dir).select(
         "ext_book_id",
@@ -337,6 +394,21 @@ def als_holdout_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.rmse(model.score(model.fit(training, SERVED_ALS), test))
 
 
+def als_holdout_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many ratings of the default split's test part the model could score."""
+    return als_holdout_rmse(spark, sf_dir).select("scored")
+
+
+def als_filter_after_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all users, recommendations that were rated before, and users with more than ten."""
+    recs = als_recs_filter_after(spark, sf_dir)
+    known = recommend.with_known_rating(recs, derived.ratings(spark, sf_dir))
+    users = known.groupBy("user_id").agg(F.count(F.lit(1)).alias("recs"), F.count("rating").alias("rated"))
+    return users.agg(
+        F.coalesce(F.sum("rated"), F.lit(0)).alias("rated"), F.count_if(F.col("recs") > 10).alias("over_limit")
+    )
+
+
 def als_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     training, validation, _ = split.by_hash(cut(derived.ratings(spark, sf_dir)), seed=7)
     return model.grid_metrics(training, validation, SERVED_ALS, parallelism=2)
@@ -345,9 +417,7 @@ def als_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def als_grid_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many validation ratings each grid point could score, for a split that SQL can do."""
     training, validation, _ = _key_split(cut(derived.ratings(spark, sf_dir)))
-    metrics = model.grid_metrics(
-        training, validation, SERVED_ALS, ranks=(2, 4), regs=(0.1, 0.2), parallelism=2
-    )
+    metrics = model.grid_metrics(training, validation, SERVED_ALS, parallelism=2)
     return metrics.select("grid_pos", "rank", "reg", "scored")
 
 
@@ -371,10 +441,17 @@ def als_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streaming
 
 
-def _run_stream(spark: SparkSession, sf_dir: str, job: JobConfig | None) -> str:
+def _run_stream(
+    spark: SparkSession, sf_dir: str, job: JobConfig | None, deliveries: int = 1, copies: int = 1
+) -> str:
+    """Deliver the events in parts, in order, each as files of one landing folder, and absorb each part by
+    a run of the stream that goes on where the last one ended; return the folder of the versions."""
     path = fresh_dir(spark, "refresh")
-    schema = derived.table(spark, sf_dir, "events").schema
-    events = read_rating_files(spark, sf_dir, schema, names="events.parquet")
+    landing = f"{path}/landing"
+    table = derived.table(spark, sf_dir, "events")
+    first, last = table.agg(F.coalesce(F.min("event_id"), F.lit(0)), F.coalesce(F.max("event_id"), F.lit(0))).first()
+    part = F.floor((F.col("event_id") - first) * deliveries / (last - first + 1))
+    sent = table.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).drop("_copy")
     refresh = Refresh(
         ratings=cut(_rating_table(spark, sf_dir)),
         gr_books=_economy_lookup(spark, sf_dir),
@@ -382,13 +459,25 @@ def _run_stream(spark: SparkSession, sf_dir: str, job: JobConfig | None) -> str:
         path=path,
         job=job,
     )
-    start(derived.new_ratings(events), refresh, f"{path}/checkpoint").awaitTermination()
+    for each in range(deliveries):
+        sent.filter(part == each).write.mode("append").parquet(landing)
+        stream = derived.new_ratings(read_rating_files(spark, landing, table.schema))
+        if copies > 1:
+            stream = without_redelivery(stream, "arrival", "1 day")
+        start(stream, refresh, f"{path}/checkpoint").awaitTermination()
     return path
 
 
 def stream_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ratings a stream of events adds."""
-    return tables.read_version(spark, f"{_run_stream(spark, sf_dir, None)}/ratings")
+    """The ratings a stream of events adds in three deliveries, a batch each."""
+    path = _run_stream(spark, sf_dir, None, deliveries=3)
+    return tables.read_versions_before(spark, f"{path}/ratings", 1 << 62, RATINGS)
+
+
+def stream_redelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where every event is delivered twice."""
+    path = _run_stream(spark, sf_dir, None, copies=2)
+    return tables.read_versions_before(spark, f"{path}/ratings", 1 << 62, RATINGS)
 
 
 def stream_recs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -397,6 +486,19 @@ def stream_recs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_version(spark, f"{path}/new_recs")
 
 
+def stream_rec_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recommendations per user after the stream, and how many of them the user had rated by then."""
+    path = _run_stream(spark, sf_dir, JobConfig(als=SERVED_ALS))
+    added = tables.read_versions_before(spark, f"{path}/ratings", 1 << 62, RATINGS)
+    pairs = quality.union_ratings(derived.ratings(spark, sf_dir), added.select("user_id", "book_id", "rating"))
+    pairs = pairs.groupBy("user_id", "book_id").agg(F.max("rating").alias("rating"))
+    recs = tables.read_version(spark, f"{path}/new_recs")
+    known = recommend.with_known_rating(recs, pairs)
+    return known.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("recs"), F.count("rating").alias("rated")
+    )
+
+
 QUERIES = {
     run.__name__: run
     for run in (
@@ -412,12 +514,17 @@ QUERIES = {
         dedupe_ratings,
         union_ratings,
         ratings_load,
+        rating_file_load,
+        book_file_load,
+        lookup_file_load,
+        ratings_quarantine,
         lookup_load,
         profile_view,
         lookup_misses,
         book_search,
         book_search_author,
         book_detail,
+        book_by_id,
         book_links,
         xml_books,
         xml_search,
@@ -444,12 +551,16 @@ QUERIES = {
         als_unseen_counts,
         als_recs_filter_after,
         als_holdout_rmse,
+        als_holdout_scored,
+        als_filter_after_counts,
         als_grid,
         als_grid_scored,
         als_best_point,
         als_tuned,
         als_subset,
         stream_refresh,
+        stream_redelivered,
         stream_recs,
+        stream_rec_counts,
     )
 }

@@ -3,6 +3,9 @@
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +36,10 @@ def local_session(cores: int | str = "*", memory: str = "8g", **extra: str) -> S
     return spark
 
 
+# Folders made since the innermost open ``scratch``, if any.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """This application's part of the folder that ``spark.checkpoint.dir`` names.
 
@@ -49,7 +56,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (made := _MADE.get()) is not None:
+        made.append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what ``fresh_dir`` and ``cut`` made inside. Results have to be written
+    elsewhere by then, since DataFrames over the deleted tables cannot be read any more."""
+    made: list[str] = []
+    before = _MADE.set(made)
+    try:
+        yield
+    finally:
+        _MADE.reset(before)
+        for path in made:
+            delete(spark, path)
 
 
 def cut(df: DataFrame) -> DataFrame:

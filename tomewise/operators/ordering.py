@@ -36,7 +36,7 @@ def number_rows(
     placed = cut(
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .drop("_place")
+        .drop(*order[len(order_by) :])
         .withColumn("_at", F.monotonically_increasing_id())
         .withColumn("_range", F.shiftright("_at", _ROW_BITS).cast("int"))
     )

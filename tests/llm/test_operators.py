@@ -171,6 +171,14 @@ def test_later_runs_of_lines_go(spark, k):
     assert lines.remove_repeated_lines(empty(spark), k).collect() == []
 
 
+def test_a_query_removes_runs_of_any_length(spark, tmp_path):
+    texts = [(1, "a\nb\nc"), (2, "a\nx\nb\nc"), (3, "c"), (4, "x\ny"), (5, None)]
+    spark.createDataFrame(texts, "doc_id BIGINT, text STRING").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op3_lines_any_length"](spark, str(tmp_path)).collect()
+    want = {5: (0, 0, ""), **brute_lines(texts, 1)}
+    assert {r.doc_id: r[1:] for r in got} == {i: (n, g, hashlib.md5(t.encode()).hexdigest()) for i, (n, g, t) in want.items()}
+
+
 # 4: decontamination
 
 

@@ -50,6 +50,12 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_lines", "n_removed", F.md5("kept").alias("kept_md5"))
 
 
+def op3_lines_any_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for repeated runs of any length, single lines too."""
+    docs = lines.remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_lines=1)
+    return docs.select("doc_id", "n_lines", "n_removed", F.md5("kept").alias("kept_md5"))
+
+
 def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
 
@@ -93,8 +99,8 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_mixing, op2_quality, op3_lines, op4_decontam, op5_token_files, op6_lsh_forest, op7_toxicity,
-        op8_substrings, op9_chat, op10_jaccard,
+        op1_mixing, op2_quality, op3_lines, op3_lines_any_length, op4_decontam, op5_token_files, op6_lsh_forest,
+        op7_toxicity, op8_substrings, op9_chat, op10_jaccard,
     )
 }
 
@@ -161,4 +167,5 @@ FROM (SELECT doc_id FROM documents) LEFT JOIN d USING (doc_id)"""
 ORACLES: dict[str, str] = {
     "op1_mixing": mix_sql(DOCS_SQL, MIX_SEED, MIX_EPOCHS, MIX_SHARE),
     "op3_lines": lines_sql(lines.MIN_LINES),
+    "op3_lines_any_length": lines_sql(1),
 }

@@ -99,6 +99,18 @@ def test_blocks_do_not_follow_the_number_of_ratings():
         config.estimator(50_000_001)
 
 
+def test_a_job_has_blocks_for_all_its_ratings(planted, monkeypatch):
+    assert AlsConfig(seed=3).for_ratings(50_000_000).blocks == 10
+    assert AlsConfig(seed=3).for_ratings(10**13).blocks == 2_000_000
+    monkeypatch.setattr(model, "RATINGS_PER_BLOCK", planted.count() // 12)
+    used, make = [], AlsConfig.estimator
+    monkeypatch.setattr(AlsConfig, "estimator", lambda self, n: used.append(self.blocks) or make(self, n))
+    job = JobConfig(als=AlsConfig(seed=7, rank=2, max_iter=1), tune=True, ranks=(2,), regs=(0.1,))
+    assert recommend_job(planted, job).count() == 3000
+    # The grid over the training part, and the fit over all.
+    assert len(used) == 2 and used[0] == used[1] > 10
+
+
 def test_unknown_user_is_dropped_by_scoring(spark, planted):
     fitted = model.fit(planted, AlsConfig(seed=3, rank=2, max_iter=1))
     df = spark.createDataFrame([(1, 1), (10_000, 1), (1, 10_000)], "user_id INT, book_id INT")

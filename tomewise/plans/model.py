@@ -27,7 +27,8 @@ class AlsConfig:
     """``seed`` has no default on purpose: Spark's own differs between interpreter starts.
 
     ``blocks`` is a constant of the job, the same for every fit of it: it decides the starting point of the
-    factors. Give at least one per ``RATINGS_PER_BLOCK`` ratings; a fit that has more to a block raises.
+    factors. A fit that has more than ``RATINGS_PER_BLOCK`` ratings to a block raises; a job takes ``for_ratings`` of
+    all its ratings, once, so that it has enough.
     """
 
     seed: int
@@ -36,6 +37,10 @@ class AlsConfig:
     max_iter: int = SERVED_ITERATIONS
     blocks: int = 10
 
+    def for_ratings(self, n_ratings: int) -> "AlsConfig":
+        """This configuration with at least as many blocks as so many ratings need; there is no maximum."""
+        return replace(self, blocks=max(self.blocks, -(-n_ratings // RATINGS_PER_BLOCK)))
+
     def estimator(self, n_ratings: int) -> ALS:
         blocks = self.blocks
         if n_ratings > blocks * RATINGS_PER_BLOCK:

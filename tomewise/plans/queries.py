@@ -390,8 +390,9 @@ def als_recs_filter_after(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def als_holdout_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    training, _, test = split.by_hash(cut(derived.ratings(spark, sf_dir)), seed=7)
-    return stats.rmse(model.score(model.fit(training, SERVED_ALS), test))
+    ratings = cut(derived.ratings(spark, sf_dir))
+    training, _, test = split.by_hash(ratings, seed=7)
+    return stats.rmse(model.score(model.fit(training, SERVED_ALS.for_ratings(ratings.count())), test))
 
 
 def als_holdout_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -410,14 +411,16 @@ def als_filter_after_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def als_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    training, validation, _ = split.by_hash(cut(derived.ratings(spark, sf_dir)), seed=7)
-    return model.grid_metrics(training, validation, SERVED_ALS, parallelism=2)
+    ratings = cut(derived.ratings(spark, sf_dir))
+    training, validation, _ = split.by_hash(ratings, seed=7)
+    return model.grid_metrics(training, validation, SERVED_ALS.for_ratings(ratings.count()), parallelism=2)
 
 
 def als_grid_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many validation ratings each grid point could score, for a split that SQL can do."""
-    training, validation, _ = _key_split(cut(derived.ratings(spark, sf_dir)))
-    metrics = model.grid_metrics(training, validation, SERVED_ALS, parallelism=2)
+    ratings = cut(derived.ratings(spark, sf_dir))
+    training, validation, _ = _key_split(ratings)
+    metrics = model.grid_metrics(training, validation, SERVED_ALS.for_ratings(ratings.count()), parallelism=2)
     return metrics.select("grid_pos", "rank", "reg", "scored")
 
 
@@ -434,7 +437,7 @@ def als_tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
 def als_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recommendations for the users who have rated most kinds of books."""
     ratings = cut(derived.ratings(spark, sf_dir))
-    fitted = model.fit(ratings, SERVED_ALS)
+    fitted = model.fit(ratings, SERVED_ALS.for_ratings(ratings.count()))
     return recommend.top_n_for(fitted, quality.active_users(ratings, 30))
 
 

@@ -1,8 +1,8 @@
 """A training corpus from raw documents: each stage is written down and read again by the next.
 
 1. quality: documents that the quality classifier rejects go.
-2. near duplicates: of each group of documents that are alike in their word shingles the one with the smallest id
-   stays; of rows that repeat an id, the one with the first text; rows without an id stay.
+2. near duplicates: of each group of documents that are alike in their shingles of five words (at 0.8 or more) the one
+   with the smallest id stays; of rows that repeat an id, the one with the first text; rows without an id stay.
 3. decontamination: documents that hold a benchmark item, but for a few edits, go.
 4. mixing: each (domain, language, source) gets its share of a token budget, and its documents are taken in a
    seeded order until the share is met. Nothing is taken twice here (one epoch), and the document in which a share ends
@@ -22,6 +22,7 @@ from tomewise.session import fresh_dir
 
 MIX_SHARE, MIX_EPOCHS = (9, 10), 1
 QUALITY_FOLD = (4, 2)
+NEAR_PERCENT, NEAR_WORDS = 80, 5
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +30,10 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return docs.filter(quality.score(model, "text") >= quality.ACCEPT)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard.groups(docs).filter(F.col("doc_id") == F.col("component_id"))
+def near_duplicates(
+    spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int = jaccard.PERCENT, words: int = jaccard.WORDS
+) -> DataFrame:
+    found = jaccard.groups(docs, percent, words).filter(F.col("doc_id") == F.col("component_id"))
     stays = found.groupBy(F.col("doc_id").alias("stays")).agg(F.count(F.lit(1)).alias("rows"))
     rows = docs.select(F.struct("*").alias("row"), "doc_id", "text")
     named = rows.join(stays, F.col("doc_id").cast("long") == F.col("stays"))
@@ -42,6 +45,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return once.unionByName(repeated).unionByName(nameless).select("row.*")
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark, docs, sf_dir, NEAR_PERCENT, NEAR_WORDS)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontam.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
@@ -69,7 +76,7 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES = [
     ("quality", good_quality),
-    ("near duplicates", near_duplicates),
+    ("near duplicates", near_copies),
     ("decontamination", decontaminated),
     ("mixing", mixed),
     ("token files", token_output),

@@ -359,3 +359,15 @@ def test_near_duplicates_keep_one_of_each_group(spark, sf_dir):
     groups = brute_groups([*ODD, *planted_texts(8, 40)])
     want = {(i is not None, i) for i, _, c in groups if i is None or i == c}
     assert got == sorted(want)
+
+
+def test_the_stage_links_five_words_at_eight_tenths(spark, sf_dir):
+    texts = [*planted_texts(8, 40), (900, " ".join(f"p{i}" for i in range(105))), (901, " ".join(f"p{i}" for i in range(87)))]
+    stage = dict(corpus_pipeline.STAGES)["near duplicates"]
+    got = sorted((r.doc_id is not None, r.doc_id) for r in stage(spark, docs_of(spark, texts), sf_dir).collect())
+    groups = brute_groups([*ODD, *texts], percent=80, k=5)
+    assert got == sorted({(i is not None, i) for i, _, c in groups if i is None or i == c})
+    # 83 of 101 shingles of five words, 84 of 102 of four: linked by this rule only.
+    others = brute_groups([*ODD, *texts])
+    assert (True, 901) not in got
+    assert got != sorted({(i is not None, i) for i, _, c in others if i is None or i == c})

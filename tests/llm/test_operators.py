@@ -125,6 +125,27 @@ def test_jaccard_groups_are_those_of_all_pairs(spark, monkeypatch):
     assert jaccard.groups(empty(spark)).collect() == []
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_every_text_of_a_repeated_id_keeps_its_links(spark, turned):
+    x, y = (" ".join(f"{name}{j}" for j in range(60)) for name in "xy")
+    near = " ".join(["changed", *y.split()[1:]])
+    texts = [(5, x), (5, y), (9, near), (3, x)]
+    texts = [texts[1], texts[0], *texts[2:]] if turned else texts
+    got = rows(jaccard.groups(spark.createDataFrame(texts, "doc_id BIGINT, text STRING")))
+    assert {r[0]: r[2] for r in got} == {3: 3, 5: 3, 9: 3}
+    assert [tuple(r) for r in got] == brute_groups(texts)
+
+
+@pytest.mark.parametrize("percent", [10, 80, 85, 100])
+def test_bands_hold_all_partners(spark, percent):
+    sizes = sorted({*range(1, 400), 1000, 9999, 10_000, 123_456})
+    band = {r.n: r.band for r in spark.createDataFrame([(n,) for n in sizes], "n BIGINT").select("n", jaccard.band_of(F.col("n"), percent).alias("band")).collect()}
+    for a in sizes:
+        for b in sizes:
+            if a <= b and 100 * a >= percent * b:
+                assert band[b] - band[a] in (0, 1)
+
+
 def test_bitmaps_never_prune_a_link():
     rng = np.random.default_rng(1)
     for _ in range(50):

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomewise.llm.common import cut
+from tomewise.llm.common import cut_at, drop_table
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.filter(F.col("a") != F.col("b")).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     )
-    edges = cut(edges.distinct())
+    edges, path = cut_at(edges.distinct())
     while True:
         # Stars: no node is both a centre and a leaf, and no leaf has two centres.
         centres, leaves = edges.select("a").distinct(), edges.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
@@ -40,7 +40,9 @@ def components(edges: DataFrame) -> DataFrame:
         )
         if bad.isEmpty():
             break
-        edges = cut(_small_star(_large_star(edges)))
+        before = path
+        edges, path = cut_at(_small_star(_large_star(edges)))
+        drop_table(edges.sparkSession, before)
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(
         edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     )

@@ -19,7 +19,8 @@ least d members, so the similarity is at most (s - d) / (s + d) for s = |a| + |b
 
 Shingles are 64-bit hashes. A document with fewer words than a shingle is one shingle, its whole
 sequence. Without words (null or empty text) it has none and links with nothing. A null doc_id has no component. Rows
-that repeat a doc_id are one document in the links: all their texts are in one component.
+that repeat a doc_id are one document in the links: each different text is a node of its own, and all their texts are in
+one component.
 """
 
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomewise.llm.common import binaries, cut, map_batches, mix, slices, tasks, words_of
+from tomewise.llm.common import cut, cut_at, drop_table, map_batches, mix, release, slices, tasks, words_of
 from tomewise.llm.components import components
 
 WORDS, PERCENT = 4, 85
@@ -77,13 +78,19 @@ def needed(n: int | np.ndarray, percent: int):
     return -(-percent * n // 100)
 
 
+def identity_of(bounds: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sums of hashes of each set's members; with its size they tell sets apart."""
+    total = lambda v: np.concatenate([[np.uint64(0)], np.cumsum(v, dtype=np.uint64)])
+    sums = total(mix(values)), total(mix(values ^ _OTHER))
+    return tuple((s[bounds[1:]] - s[bounds[:-1]]).view(np.int64) for s in sums)
+
+
 def _set_rows(percent: int, words: int, frequent: np.ndarray):
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for at, texts in slices(batch.column(1)):
             bounds, values = shingle_sets(texts, words)
             n = np.diff(bounds)
-            total = lambda v: np.concatenate([[np.uint64(0)], np.cumsum(v, dtype=np.uint64)])
-            first, second = total(mix(values)), total(mix(values ^ _OTHER))
+            first, second = identity_of(bounds, values)
             late = frequent[np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)] == values if len(frequent) else np.zeros(len(values), bool)
             prefix, maps = [], []
             for a, b in zip(bounds[:-1], bounds[1:]):
@@ -97,8 +104,8 @@ def _set_rows(percent: int, words: int, frequent: np.ndarray):
                 [
                     batch.column(0).slice(at, len(texts)),
                     pa.array(n, pa.int64()),
-                    pa.array((first[bounds[1:]] - first[bounds[:-1]]).view(np.int64)),
-                    pa.array((second[bounds[1:]] - second[bounds[:-1]]).view(np.int64)),
+                    pa.array(first),
+                    pa.array(second),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                     pa.array(maps, pa.binary()),
                 ],
@@ -255,11 +262,18 @@ def _cluster_edges(percent: int, words: int):
     def edges(table: pa.Table) -> pa.Table:
         texts = table["text"].combine_chunks()
         texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
-        node, sets = table["node"].to_numpy(), []
-        for _, part in slices(texts):
+        nodes, n, h1, h2 = (table[name].to_numpy() for name in ("node", "n", "h1", "h2"))
+        node, sets = [], []
+        for at, part in slices(texts):
             bounds, values = shingle_sets(part, words)
-            sets += [values[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
-        n = np.array([len(s) for s in sets])
+            first, second = identity_of(bounds, values)
+            here = slice(at, at + len(part))
+            # Other texts of a repeated doc_id are nodes of their own.
+            mine = (np.diff(bounds) == n[here]) & (first == h1[here]) & (second == h2[here])
+            for i in np.flatnonzero(mine).tolist():
+                node.append(nodes[at + i])
+                sets.append(values[bounds[i] : bounds[i + 1]])
+        node, n = np.array(node, np.int64), np.array([len(s) for s in sets], np.int64)
         order = np.lexsort((node, n))
         node, n, sets = node[order], n[order], [sets[i] for i in order]
         bitmaps, union, found = Bitmaps([bitmap(s).tobytes() for s in sets]), Union(len(node)), []
@@ -283,38 +297,58 @@ def _cluster_edges(percent: int, words: int):
     return edges
 
 
+def band_of(n: Column, percent: int) -> Column:
+    """A number for each size, in whole numbers so that it is the same everywhere: bands are at least as wide as what
+    a set may link with, so a set meets its partners in its own band or the next."""
+    edges, low = [], 1
+    while low < 1 << 40:
+        low = 100 * low // min(percent, 95) + 1
+        edges.append(low)
+    return F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= n))
+
+
 def groups(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``docs (doc_id, text)``."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id BIGINT, n BIGINT, h1 BIGINT, h2 BIGINT, prefix ARRAY<BIGINT>, bits BINARY"
-    sets = cut(map_batches(docs, _set_rows(percent, words, _frequent(docs, words)), schema))
+    sets, sets_at = cut_at(map_batches(docs, _set_rows(percent, words, _frequent(docs, words)), schema))
     identity = ["n", "h1", "h2"]
     some = sets.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    # Written down, as are the shared members, so that joins on a hot set or shingle can be split.
-    named = cut(some.groupBy(*identity).agg(F.min("doc_id").alias("node")))
-    nodes = cut(
-        some.join(named, identity).filter(F.col("doc_id") == F.col("node"))
-        .select("node", "n", "prefix", "bits").dropDuplicates(["node", "n"])
+    # A number for each different set, which holds once it is written. Written down, as are the shared members, so that
+    # joins on a hot set or shingle can be split.
+    least = some.groupBy(*identity).agg(F.min("doc_id").alias("least"))
+    named = cut(least.withColumn("node", F.monotonically_increasing_id()))
+    members_of = cut(sets.select("doc_id", *identity).join(named, identity, "left").select("doc_id", "n", "node"))
+    nodes, nodes_at = cut_at(
+        some.join(named, identity).filter(F.col("doc_id") == F.col("least"))
+        .dropDuplicates(["node"]).select("node", *identity, "prefix", "bits")
     )
+    # From here on a set is there once, and what brought it there is not read again.
+    del sets, some, least
+    drop_table(spark, sets_at)
+    release(spark)
 
     # Tiles of nodes that share a prefix member.
     members = nodes.select("node", F.explode("prefix").alias("s"))
-    shared = cut(members.groupBy("s").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") > 1))
+    shared, shared_at = cut_at(members.groupBy("s").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") > 1))
     tiled = members.join(shared, "s").select(
         "node", "s", F.explode(_blocks(F.col("times"), F.col("node"), TILE)).alias("block")
     )
     tiled = tiled.select("node", F.xxhash64("s", "block").alias("tile"))
     full = tiled.join(nodes.select("node", "n", "bits"), "node")
-    candidates = (
+    candidates, candidates_at = cut_at(
         full.select("tile", "node", "n", "bits").repartition(tasks(spark), "tile").sortWithinPartitions("tile", "node")
         .mapInArrow(_tile_edges(percent), "a BIGINT, b BIGINT")
     )
     clusters = cut(components(candidates))
+    del members, shared, tiled, full, candidates, nodes
+    for path in (shared_at, candidates_at, nodes_at):
+        drop_table(spark, path)
+    release(spark)
 
     # Clusters with their texts, in tiles of neighbouring bands of sizes.
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
-    placed = clusters.join(nodes.select("node", "n"), "node").withColumn("band", band)
+    placed = clusters.join(named, "node").withColumn("band", band_of(F.col("n"), percent))
     sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("times"))
     whole = F.col("times") <= CLUSTER_TILE
     # A large cluster is cut by bands: a node stands in the tile of its own band and of the next.
@@ -324,22 +358,29 @@ def groups(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataF
     placed = placed.join(per_band, ["component", "tile_band"]).withColumn(
         "block", F.explode(_blocks(F.col("here"), F.col("node"), CLUSTER_TILE))
     )
-    keys = placed.select("node", F.xxhash64("component", "tile_band", "block").alias("tile"))
-    # A repeated doc_id brings the text that its node stands for, or one more that is compared as well.
-    texts = keys.join(docs.filter("text IS NOT NULL"), keys.node == docs.doc_id).select("tile", "node", "text")
-    links = texts.groupBy("tile").applyInArrow(_cluster_edges(percent, words), "a BIGINT, b BIGINT")
-    known = some.join(named, identity).select("doc_id", "node", *identity)
-    repeated = known.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
-    repeated = repeated.filter(F.col("a") != F.col("b")).select("a", "b")
-    joined = components(links.unionByName(repeated))
-    nodes_of = named.join(joined, "node", "left").select(
-        *identity, F.coalesce("component", "node").alias("component_id")
+    keys = cut(placed.select("node", "least", *identity, F.xxhash64("component", "tile_band", "block").alias("tile")))
+    with_text = docs.filter("text IS NOT NULL")
+    texts = keys.join(with_text, keys.least == with_text.doc_id).select("tile", "node", *identity, "text")
+    links = cut(texts.groupBy("tile").applyInArrow(_cluster_edges(percent, words), "a BIGINT, b BIGINT"))
+
+    known = members_of.filter(F.col("doc_id").isNotNull() & F.col("node").isNotNull())
+    repeated = known.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("rows"))
+    # All texts of a repeated doc_id hang together by the first of them.
+    repeated = repeated.filter(F.col("a") != F.col("b")).select("doc_id", "a")
+    together = known.join(repeated, "doc_id").select("a", F.col("node").alias("b")).distinct()
+    joined = components(links.unionByName(together))
+    joined = joined.join(named.select("node", "least"), "node")
+    # The component's name is its smallest doc_id; that of a repeated one may belong to any of its texts.
+    smallest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+    found = joined.select("node", "component").join(smallest, "component").select("node", "component_id")
+    alone = named.select("node", "least").join(found, "node", "left").select(
+        "node", F.coalesce("component_id", "least").alias("component_id")
     )
     # Documents without shingles, or without an id, stay by themselves.
-    found = sets.select("doc_id", *identity).join(nodes_of, identity, "left")
-    alone = (F.col("n") == 0) | F.col("doc_id").isNull()
-    return found.select(
+    rows = members_of.join(alone, "node", "left")
+    by_itself = (F.col("n") == 0) | F.col("doc_id").isNull()
+    return rows.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(by_itself, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )

@@ -2,7 +2,7 @@
 
 1. quality: documents that the quality classifier rejects go.
 2. near duplicates: of each group of documents that are alike in their shingles of five words (at 0.8 or more) the one
-   with the smallest id stays; of rows that repeat an id, the one with the first text; rows without an id stay.
+   with the smallest id stays, with one row of each different text that has this id; rows without an id stay.
 3. decontamination: documents that hold a benchmark item, but for a few edits, go.
 4. mixing: each (domain, language, source) gets its share of a token budget, and its documents are taken in a
    seeded order until the share is met. Nothing is taken twice here (one epoch), and the document in which a share ends
@@ -14,10 +14,9 @@ Every stage keeps the columns of its input, whatever they are called; the last r
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tomewise.llm import decontam, jaccard, mixing, quality, queries, token_files
-from tomewise.llm.common import cut, table
+from tomewise.llm.common import cut, cut_at, drop_table, table
 from tomewise.session import fresh_dir
 
 MIX_SHARE, MIX_EPOCHS = (9, 10), 1
@@ -33,16 +32,17 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_duplicates(
     spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int = jaccard.PERCENT, words: int = jaccard.WORDS
 ) -> DataFrame:
-    found = jaccard.groups(docs, percent, words).filter(F.col("doc_id") == F.col("component_id"))
-    stays = found.groupBy(F.col("doc_id").alias("stays")).agg(F.count(F.lit(1)).alias("rows"))
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text")
-    named = rows.join(stays, F.col("doc_id").cast("long") == F.col("stays"))
-    # Repeated ids are rare: only their rows are put in order.
-    once = named.filter(F.col("rows") == 1).select("row")
-    first = Window.partitionBy("doc_id").orderBy("text")
-    repeated = named.filter(F.col("rows") > 1).withColumn("nth", F.row_number().over(first)).filter("nth = 1").select("row")
-    nameless = rows.filter(F.col("doc_id").isNull()).select("row")
-    return once.unionByName(repeated).unionByName(nameless).select("row.*")
+    found = cut(jaccard.groups(docs, percent, words))
+    # The ids that go, or that stay but repeat, are few beside the documents, whose texts move at most once.
+    goes = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("goes"))
+    repeats = found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    repeats = repeats.filter(F.col("rows") > 1).select(F.col("doc_id").alias("goes"))
+    number = docs["doc_id"].cast("long")
+    if repeats.isEmpty():
+        return docs.join(goes.distinct(), number == F.col("goes"), "left_anti")
+    once = docs.join(goes.unionByName(repeats).distinct(), number == F.col("goes"), "left_anti")
+    again = docs.join(repeats, number == F.col("goes"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(again)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -87,7 +87,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        docs, path = cut_at(stage(spark, docs, sf_dir))
+        if before:
+            drop_table(spark, before)
+        before = path
+    # The token files hold what is returned; they are written before this ends, so the last input can go as well.
+    result = STAGES[-1][1](spark, docs, sf_dir)
+    drop_table(spark, before)
+    return result

@@ -5,10 +5,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomewise.llm import (
-    chat, decontam, jaccard, lines, lsh_forest, mixing, quality, substrings, token_files, toxicity,
+    chat, decontam, filter_audit, jaccard, lines, lsh_forest, mixing, quality, substrings, token_files, toxicity,
 )
 from tomewise.llm.common import shared_dir, table
 from tomewise.llm.labelled import held_out
+from tomewise.llm.sql import AUDIT
 from tomewise.session import fresh_dir
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -96,11 +97,15 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(table(spark, sf_dir, "documents"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_mixing, op2_quality, op3_lines, op3_lines_any_length, op4_decontam, op5_token_files, op6_lsh_forest,
-        op7_toxicity, op8_substrings, op9_chat, op10_jaccard,
+        op7_toxicity, op8_substrings, op9_chat, op10_jaccard, op13_filter_audit,
     )
 }
 
@@ -168,4 +173,5 @@ ORACLES: dict[str, str] = {
     "op1_mixing": mix_sql(DOCS_SQL, MIX_SEED, MIX_EPOCHS, MIX_SHARE),
     "op3_lines": lines_sql(lines.MIN_LINES),
     "op3_lines_any_length": lines_sql(1),
+    "op13_filter_audit": AUDIT,
 }

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomewise.llm import (
-    chat, decontam, filter_audit, jaccard, lines, lsh_forest, mixing, quality, substrings, token_files, toxicity,
+    chat, decontam, filter_audit, jaccard, language_id, lines, lsh_forest, mixing, quality, substrings, token_files, toxicity,
 )
 from tomewise.llm.common import shared_dir, table
 from tomewise.llm.labelled import held_out
@@ -97,6 +97,13 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(table(spark, sf_dir, "documents"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs, fold=(4, 2))
+    told = docs.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), language_id.predict(model, "text").alias("told"))
+    return told.select("doc_id", "held_out", "told.lang_pred", "told.score")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -105,7 +112,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_mixing, op2_quality, op3_lines, op3_lines_any_length, op4_decontam, op5_token_files, op6_lsh_forest,
-        op7_toxicity, op8_substrings, op9_chat, op10_jaccard, op13_filter_audit,
+        op7_toxicity, op8_substrings, op9_chat, op10_jaccard, op12_language_id, op13_filter_audit,
     )
 }
 

@@ -5,11 +5,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomewise.llm import (
-    chat, decontam, filter_audit, jaccard, language_id, lines, lsh_forest, mixing, quality, substrings, token_files, toxicity,
+    chat, conv_trie, decontam, filter_audit, jaccard, language_id, lines, lsh_forest, mixing, quality, substrings, token_files, toxicity,
 )
 from tomewise.llm.common import shared_dir, table
 from tomewise.llm.labelled import held_out
-from tomewise.llm.sql import AUDIT
+from tomewise.llm.sql import AUDIT, TRIE
 from tomewise.session import fresh_dir
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -97,6 +97,11 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conv_trie.ordered(table(spark, sf_dir, "conversations"))
+    return conv_trie.trie(*conv_trie.with_family_heads(turns))
+
+
 def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs, fold=(4, 2))
@@ -112,7 +117,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_mixing, op2_quality, op3_lines, op3_lines_any_length, op4_decontam, op5_token_files, op6_lsh_forest,
-        op7_toxicity, op8_substrings, op9_chat, op10_jaccard, op12_language_id, op13_filter_audit,
+        op7_toxicity, op8_substrings, op9_chat, op10_jaccard, op11_conversation_trie, op12_language_id, op13_filter_audit,
     )
 }
 
@@ -180,5 +185,6 @@ ORACLES: dict[str, str] = {
     "op1_mixing": mix_sql(DOCS_SQL, MIX_SEED, MIX_EPOCHS, MIX_SHARE),
     "op3_lines": lines_sql(lines.MIN_LINES),
     "op3_lines_any_length": lines_sql(1),
+    "op11_conversation_trie": TRIE,
     "op13_filter_audit": AUDIT,
 }

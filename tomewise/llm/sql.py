@@ -1,5 +1,6 @@
 """SQL of the conversation trie and the filter audit, for DuckDB."""
 
+from tomewise.llm.conv_trie import FAMILY, HEADS
 from tomewise.llm.filter_audit import CAPITAL_PERCENT, DISTINCT_PERCENT, FILTERS, LEAST_WORDS, MARKS, ORDERS
 
 AUDIT = rf"""
@@ -29,3 +30,38 @@ counted AS (SELECT part, filter_order, step, filter,
     FROM cells, steps GROUP BY part, filter_order, step, filter)
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
     (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley, filter FROM counted"""
+
+# Fixed value: the reversed polynomial of CRC-32.
+CRC_POLYNOMIAL = 3988292384
+
+
+def crc32(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII text."""
+    bit = f"CASE WHEN x % 2 = 1 THEN xor(x // 2, {CRC_POLYNOMIAL}::UBIGINT) ELSE x // 2 END"
+    byte = f"list_reduce(list_concat([xor(crc, b)], range(8)::UBIGINT[]), lambda x, i: {bit})"
+    letters = f"list_transform(string_split({text}, ''), lambda c: ord(c)::UBIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::UBIGINT], {letters}), lambda crc, b: {byte}), 4294967295::UBIGINT)"
+
+
+TRIE = f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id
+    ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id),
+c AS (SELECT conv_id, ({crc32("conv_id::VARCHAR")} % {HEADS})::BIGINT AS h, conv_id - conv_id % {FAMILY} AS base FROM l),
+r AS (SELECT c.conv_id, t.p, role, text FROM c JOIN t ON t.conv_id = c.base AND t.p <= c.h
+    UNION ALL SELECT c.conv_id, t.p - h + least(h, coalesce(l.n, 0)), role, text
+    FROM c JOIN t ON t.conv_id = c.conv_id LEFT JOIN l ON l.conv_id = c.base WHERE t.p > h),
+k AS (SELECT conv_id, p AS depth, strlen(text) AS bytes,
+      md5(string_agg(md5(role) || md5(text), '') OVER (PARTITION BY conv_id ORDER BY p)) AS node FROM r
+    UNION ALL SELECT conv_id, 0, 0, 'root' FROM c),
+m AS (SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n, max(bytes) AS bytes FROM k GROUP BY node, depth),
+last AS (SELECT conv_id, max(depth) AS depth FROM k GROUP BY conv_id),
+ends AS (SELECT node, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM k JOIN last USING (conv_id, depth) GROUP BY node),
+e AS (SELECT m.node, k.node AS parent FROM m JOIN k ON k.conv_id = m.conv_id AND k.depth = m.depth - 1),
+kids AS (SELECT parent AS node, count(*) AS children FROM e GROUP BY parent),
+sub AS (SELECT k.node, sum(CASE WHEN children IS NULL THEN 1 ELSE 0 END) AS leaves, sum((n - 1) * m.bytes) AS saved
+    FROM m JOIN k ON k.conv_id = m.conv_id AND k.depth <= m.depth LEFT JOIN kids ON kids.node = m.node GROUP BY k.node)
+SELECT m.conv_id, m.depth, up.conv_id AS parent_conv_id, m.n AS n_convs, coalesce(children, 0) AS n_children,
+    leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM m JOIN sub USING (node) LEFT JOIN kids USING (node) LEFT JOIN ends USING (node)
+    LEFT JOIN e USING (node) LEFT JOIN m up ON up.node = e.parent"""

@@ -167,6 +167,13 @@ LOOKUP_LOAD = f"""WITH {ECONOMY}
         WHERE place = 1 AND gr_id NOT IN (SELECT gr_id FROM economy)"""
 
 
+COUNTS_AFTER_STREAM = f"""WITH {INGESTED},
+        pairs AS (SELECT user_id, book_id FROM ratings UNION SELECT user_id, book_id FROM ingested)
+        SELECT user_id,
+               least(10, (SELECT count(DISTINCT book_id) FROM pairs) - count(*)) AS recs,
+               CAST(0 AS BIGINT) AS rated
+        FROM pairs GROUP BY user_id"""
+
 ORACLES = {
     "rating_counts": f"""WITH {RATINGS}
         SELECT '# of Ratings' AS characteristic, count(rating) AS count FROM ratings
@@ -333,10 +340,8 @@ ORACLES = {
         UNION ALL SELECT 'test', count(*) FROM marked WHERE bucket > 7""",
     "stream_refresh": f"WITH {INGESTED} SELECT * FROM ingested",
     "stream_redelivered": f"WITH {INGESTED} SELECT * FROM ingested",
-    "stream_rec_counts": f"""WITH {INGESTED},
-        pairs AS (SELECT user_id, book_id FROM ratings UNION SELECT user_id, book_id FROM ingested)
-        SELECT user_id,
-               least(10, (SELECT count(DISTINCT book_id) FROM pairs) - count(*)) AS recs,
-               CAST(0 AS BIGINT) AS rated
-        FROM pairs GROUP BY user_id""",
+    "stream_rec_counts": COUNTS_AFTER_STREAM,
+    "stream_foldin_counts": COUNTS_AFTER_STREAM,
+    "foldin_half_step": f"""WITH {RATINGS}
+        SELECT count(DISTINCT user_id) AS users, CAST(0 AS BIGINT) AS differing FROM ratings""",
 }

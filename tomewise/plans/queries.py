@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tomewise.functions.book_columns import byline, lookup_url
 from tomewise.operators import quality, recommend, serve, split, stats, upsert
+from tomewise.operators.foldin import fold_in
 from tomewise.operators.ordering import number_rows
 from tomewise.operators.topk import best_items
 from tomewise.plans import derived, model
@@ -12,6 +13,7 @@ from tomewise.plans.recommend_job import JobConfig, recommend_job
 from tomewise.schemas import RATINGS, conform
 from tomewise.session import cut, fresh_dir
 from tomewise.sources import files, tables, xmlbooks
+from tomewise.streaming.foldin import FoldInRefresh
 from tomewise.streaming.refresh import Refresh, read_rating_files, start, without_redelivery
 
 SCORE_DECIMALS = 6
@@ -445,17 +447,17 @@ def als_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _run_stream(
-    spark: SparkSession, sf_dir: str, job: JobConfig | None, deliveries: int = 1, copies: int = 1
-) -> str:
+    spark: SparkSession, sf_dir: str, job: JobConfig | None, deliveries: int = 1, copies: int = 1, kind=Refresh
+) -> Refresh:
     """Deliver the events in parts, in order, each as files of one landing folder, and absorb each part by
-    a run of the stream that goes on where the last one ended; return the folder of the versions."""
+    a run of the stream that goes on where the last one ended; return the state, with the folder of the versions."""
     path = fresh_dir(spark, "refresh")
     landing = f"{path}/landing"
     table = derived.table(spark, sf_dir, "events")
     first, last = table.agg(F.coalesce(F.min("event_id"), F.lit(0)), F.coalesce(F.max("event_id"), F.lit(0))).first()
     part = F.floor((F.col("event_id") - first) * deliveries / (last - first + 1))
     sent = table.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).drop("_copy")
-    refresh = Refresh(
+    refresh = kind(
         ratings=cut(_rating_table(spark, sf_dir)),
         gr_books=_economy_lookup(spark, sf_dir),
         directory=_directory(spark, sf_dir),
@@ -468,40 +470,71 @@ def _run_stream(
         if copies > 1:
             stream = without_redelivery(stream, "arrival", "1 day")
         start(stream, refresh, f"{path}/checkpoint").awaitTermination()
-    return path
+    return refresh
 
 
 def stream_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ratings a stream of events adds in three deliveries, a batch each."""
-    path = _run_stream(spark, sf_dir, None, deliveries=3)
+    path = _run_stream(spark, sf_dir, None, deliveries=3).path
     return tables.read_versions_before(spark, f"{path}/ratings", 1 << 62, RATINGS)
 
 
 def stream_redelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same where every event is delivered twice."""
-    path = _run_stream(spark, sf_dir, None, copies=2)
+    path = _run_stream(spark, sf_dir, None, copies=2).path
     return tables.read_versions_before(spark, f"{path}/ratings", 1 << 62, RATINGS)
 
 
 def stream_recs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The recommendations after the stream has been absorbed."""
-    path = _run_stream(spark, sf_dir, JobConfig(als=SERVED_ALS))
+    path = _run_stream(spark, sf_dir, JobConfig(als=SERVED_ALS)).path
     return tables.read_version(spark, f"{path}/new_recs")
 
 
 def stream_rec_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recommendations per user after the stream, and how many of them the user had rated by then."""
-    path = _run_stream(spark, sf_dir, JobConfig(als=SERVED_ALS))
+    path = _run_stream(spark, sf_dir, JobConfig(als=SERVED_ALS)).path
+    return _counts_after(spark, sf_dir, path, tables.read_version(spark, f"{path}/new_recs"))
+
+
+def _counts_after(spark: SparkSession, sf_dir: str, path: str, recs: DataFrame) -> DataFrame:
     added = tables.read_versions_before(spark, f"{path}/ratings", 1 << 62, RATINGS)
     pairs = quality.union_ratings(derived.ratings(spark, sf_dir), added.select("user_id", "book_id", "rating"))
     pairs = pairs.groupBy("user_id", "book_id").agg(F.max("rating").alias("rating"))
-    recs = tables.read_version(spark, f"{path}/new_recs")
     known = recommend.with_known_rating(recs, pairs)
     return known.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("recs"), F.count("rating").alias("rated")
     )
 
 
+def _folded_in(spark: SparkSession, sf_dir: str) -> FoldInRefresh:
+    """Three deliveries: a fit with the first, and only who was touched after the second and third."""
+    return _run_stream(spark, sf_dir, JobConfig(als=SERVED_ALS), deliveries=3, kind=FoldInRefresh)
+
+
+def stream_foldin_recs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _folded_in(spark, sf_dir).recs(spark)
+
+
+def stream_foldin_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recommendations per user after folding in, and how many of them the user had rated by then."""
+    state = _folded_in(spark, sf_dir)
+    return _counts_after(spark, sf_dir, state.path, state.recs(spark))
+
+
+def foldin_half_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folding all users in against a model's book factors is the last half step of its fit: how many users there are,
+    and how many of them come out otherwise than the fit left them."""
+    ratings = cut(derived.ratings(spark, sf_dir))
+    fitted = model.fit(ratings, SERVED_ALS.for_ratings(ratings.count()))
+    folded = fold_in(ratings, fitted.itemFactors, SERVED_ALS.reg).select("id", F.col("features").alias("folded"))
+    both = fitted.userFactors.join(folded, "id", "full")
+    off = F.exists(F.zip_with("features", "folded", lambda a, b: F.abs(a - b)), lambda d: d > 1e-4)
+    return both.agg(
+        F.count(F.lit(1)).alias("users"), F.count_if(F.coalesce(off, F.lit(True))).alias("differing")
+    )
+
+
 QUERIES = {
     run.__name__: run
     for run in (
@@ -565,5 +598,8 @@ QUERIES = {
         stream_redelivered,
         stream_recs,
         stream_rec_counts,
+        stream_foldin_recs,
+        stream_foldin_counts,
+        foldin_half_step,
     )
 }

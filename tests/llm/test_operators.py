@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -216,7 +217,7 @@ def edits(item, text):
 def test_decontamination_finds_what_alignment_finds(spark):
     rng = random.Random(4)
     say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7))) for _ in range(n))
-    items = [(i, say(30)) for i in range(6)] + [(90, "Tiny one"), (91, None), (92, "")]
+    items = [(i, say(30)) for i in range(6)] + [(90, "Tiny one"), (91, None), (92, ""), (93, "twelve chars")]
     docs = [*ODD]
     for i in range(40):
         text, item = say(60), items[i % 6][1]
@@ -225,7 +226,7 @@ def test_decontamination_finds_what_alignment_finds(spark):
             at = rng.randrange(len(passage))
             passage[at : at + rng.randrange(2)] = rng.choice(["", "z", "zz"])
         docs.append((200 + i, text[:100] + " " + "".join(passage).upper() + "\n" + text[100:]))
-    docs.append((300, "so tiny   ONE here"))
+    docs += [(300, "so tiny   ONE here"), (301, "these twelv3 chars, with an edit"), (302, "not tw3lv3 chars, with two")]
     found = decontam.contaminated(
         spark.createDataFrame(docs, "doc_id BIGINT, text STRING"), spark.createDataFrame(items, "item_id BIGINT, text STRING"), ["doc_id"]
     )
@@ -236,10 +237,44 @@ def test_decontamination_finds_what_alignment_finds(spark):
             if t and s:
                 item, text = decontam.normal(s), decontam.normal(t)
                 k, q = decontam.budget(len(item), decontam.SHARE)
-                e = edits(item, text) if q else (0 if item in text else 99)
+                e = edits(item, text)
                 if e <= k:
                     want[d, i] = e
-    assert got == want and (300, 90) in got
+    assert got == want and (300, 90) in got and got[301, 93] == 1 and (302, 93) not in got
+
+
+def test_the_closest_end_is_that_of_the_whole_table():
+    rng = random.Random(8)
+    for _ in range(60):
+        item, text = ("".join(rng.choice("ab ") for _ in range(n)) for n in (rng.randrange(1, 12), rng.randrange(1, 60)))
+        row = [0] * (len(text) + 1)
+        for x in item:
+            last, row = row, [row[0] + 1]
+            for j, y in enumerate(text, 1):
+                row.append(min(last[j - 1] + (x != y), last[j] + 1, row[-1] + 1))
+        least = min(row[1:])
+        got = decontam.closest(decontam.codes(item), decontam.codes(text), [(0, len(text) // 2), (len(text) // 3, len(text))], least)
+        assert got == 1 + row[1:].index(least)
+        assert decontam.closest(decontam.codes(item), decontam.codes(text), [(0, len(text))], least - 1) is None
+
+
+def test_repetitive_texts_take_time_in_proportion():
+    rng = random.Random(6)
+    items = [(i, " ".join(rng.choice(["again", "and", "more", "of", "it"]) for _ in range(120))) for i in range(40)]
+    index = decontam.Index([(i, t, *decontam.budget(len(t), decontam.SHARE)) for i, t in items])
+    took = []
+    for times in (5_000, 50_000):
+        began = time.process_time()
+        index.search(decontam.normal("again and more of it " * times))
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 1
+
+
+def test_a_key_named_like_a_result(spark):
+    docs = spark.createDataFrame([(7, "x " * 30 + "a benchmark passage of some length " * 3)], "item_id BIGINT, text STRING")
+    items = spark.createDataFrame([(1, "a benchmark passage of some length " * 3)], "item_id BIGINT, text STRING")
+    (row,) = decontam.contaminated(docs, items, ["item_id"]).collect()
+    assert (row.key_item_id, row.item_id, row.edits) == (7, 1, 0)
 
 
 # 5, 9: tokens and chats
@@ -249,8 +284,7 @@ def test_token_files_hold_what_the_tokenizer_says(spark, tmp_path):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(TOKENIZER)
-    plain.encode_special_tokens = True
-    texts = [*ODD, *planted_texts(1, 30), (900, "it's <|endoftext|> we'll 12 34!! ###$$$ a\xa0b")]
+    texts = [*ODD, *planted_texts(1, 30), (900, "it's <|endoftext|> we'll 12 34!! ###$$$ a\xa0b"), (901, "<|endoftext|> x")]
     df = docs_of(spark, texts[len(ODD) :]).withColumn("shard", F.lit(1))
     path = str(tmp_path / "files")
     got = rows(token_files.read_token_files(token_files.write_token_files(df, path, TOKENIZER), path))

@@ -16,15 +16,17 @@ The benchmark is taken in blocks of at most ``BLOCK_CHARS`` characters, each bro
 in one pass; a longer item makes a block of its own. Documents are never shuffled.
 
 Null or empty texts and items take no part. Repeated documents and items give a row each. Other columns are
-not read, but for the columns named in ``keys``.
+not read, but for the columns named in ``keys``; one that is named like a column of the result comes back as ``key_<name>``.
 """
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -35,6 +37,10 @@ QS, LEAST_SHARED = (12, 8, 6, 4), 8
 BLOCK_CHARS = 8_000_000
 # Marks q-grams of the block in a table of bits before they are looked up.
 TABLE_BITS = 22
+# Characters that are looked at together, but for what a band reaches beyond them.
+WINDOW = 1 << 12
+# Different regions of one text that are aligned with an item one by one; of more, the closest is found first.
+SINGLE = 64
 FOUND = "item_id BIGINT, begin BIGINT, end BIGINT, edits INT"
 _BLANKS = re.compile(r"\s+")
 
@@ -44,12 +50,12 @@ def normal(text: str) -> str:
 
 
 def budget(m: int, share: float) -> tuple[int, int]:
-    """Edits allowed for an item of m characters, and the q to filter with (0: exact search)."""
+    """Edits allowed for an item of m characters, and the q to filter with."""
     k = int(m * share)
     for q in QS:
         if m - q + 1 - k * q >= LEAST_SHARED:
             return k, q
-    return 0, 0
+    return k, max(1, m // (k + 1))
 
 
 def codes(text: str) -> np.ndarray:
@@ -85,20 +91,23 @@ class Index:
         self.codes = [codes(t) for _, t, _, _ in self.items]
         self.m = np.array([len(c) for c in self.codes])
         self.k = np.array([k for _, _, k, _ in self.items])
-        for q in {i[3] for i in self.items if i[3]}:
+        self.grams = np.zeros(len(self.items), np.int64)
+        for q in {i[3] for i in self.items}:
             mine = [n for n, i in enumerate(self.items) if i[3] == q]
             grams = [qgrams(self.codes[n], q) for n in mine]
             value, item = np.concatenate(grams), np.repeat(mine, [len(g) for g in grams])
             place = np.concatenate([np.arange(len(g)) for g in grams])
             _, of, common = np.unique(value, return_inverse=True, return_counts=True)
-            spare = self.m - q + 1 - self.k * q - LEAST_SHARED
+            least = np.minimum(LEAST_SHARED, self.m - q + 1 - self.k * q)
+            spare = self.m - q + 1 - self.k * q - least
             order = np.lexsort((place, -common[of], item))
             rank = np.empty(len(value), np.int64)
             first = np.searchsorted(item[order], item)
             rank[order] = np.arange(len(value))
             keep = (rank - first >= spare[item]) | (common[of] == 1)
             left_out = np.bincount(item[~keep], minlength=len(self.items))
-            self.bound[mine] = (spare + LEAST_SHARED - left_out)[mine]
+            self.bound[mine] = (spare + least - left_out)[mine]
+            self.grams[mine] = (self.m - q + 1 - left_out)[mine]
             value, item, place = value[keep], item[keep], place[keep]
             order = np.argsort(value, kind="stable")
             bits = np.zeros(1 << TABLE_BITS, bool)
@@ -125,40 +134,96 @@ class Index:
 
     def search(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item_id, begin, end, edits) in the normal text: the best region of every item found."""
-        found = [(i, at, at + len(t), 0) for i, t, _, q in self.items if not q and (at := text.find(t)) >= 0]
-        code = codes(text)
+        found, code = [], codes(text)
         for q in self.tables:
             if len(code) >= q:
                 found += self._regions(text, code, q)
         return found
 
     def _regions(self, text: str, code: np.ndarray, q: int) -> Iterator[tuple[int, int, int, int]]:
+        """Long texts go by windows that overlap by what a band can reach; equal windows are looked at once."""
+        mine = [n for n, i in enumerate(self.items) if i[3] == q]
+        reach = int((self.m + 6 * self.k + 2)[mine].max()) + q
+        step = max(WINDOW, reach)
+        long, known, found = len(code) > step + reach, {}, []
+        for at in range(0, len(code), step):
+            piece = code[at : at + step + reach]
+            name = hashlib.blake2b(piece.tobytes()).digest() if long else b""
+            if name not in known:
+                known[name] = self._bands(piece, q)
+            if len(known[name][0]):
+                i, begin, end, n = known[name]
+                found.append((i, begin + at, end + at, n))
+        if not found:
+            return
+        i, begin, end, n = (np.concatenate(c) for c in zip(*found))
+        begin, end = np.maximum(begin, 0), np.minimum(end, len(code))
+        # Every edit costs q of the item's q-grams at most.
+        least = np.maximum(0, -(-(self.grams[i] - n) // q))
+        order = np.lexsort((begin, least, i))
+        for each in np.unique(i):
+            rows = order[slice(*np.searchsorted(i[order], [each, each + 1]))]
+            region = self._best(text, code, int(each), zip(begin[rows].tolist(), end[rows].tolist(), least[rows].tolist()))
+            if region:
+                yield self.items[each][0], *region
+
+    def _bands(self, code: np.ndarray, q: int) -> tuple[np.ndarray, ...]:
+        """(item, begin, end, shared q-grams) of the bands that reach their item's bound; they may reach beyond ``code``."""
         item, place, at = self.hits(code, q)
-        # Bands of 2(2k + 1) diagonals, each beginning 2k + 1 after the last: any 2k + 1 lie in one.
-        width = 2 * self.k[item] + 1
-        half = (at - place + self.m[item]) // width
-        best: dict[int, tuple[int, int, int]] = {}
-        for shift in (0, 1):
-            key = (item << 40) | ((half + shift) >> 1)
-            bands, of, n = np.unique(key, return_inverse=True, return_counts=True)
-            for b in np.flatnonzero(n >= self.bound[bands >> 40]):
-                i = int(bands[b] >> 40)
+        none = np.empty(0, np.int64)
+        found = [(none, none, none, none)]
+        enough = np.flatnonzero(np.bincount(item, minlength=len(self.items)) >= np.maximum(self.bound, 1))
+        order = np.argsort(item, kind="stable") if len(enough) > 4 else None
+        for i in enough.tolist():
+            rows = np.flatnonzero(item == i) if order is None else order[slice(*np.searchsorted(item, [i, i + 1], sorter=order))]
+            here, m, k = place[rows], int(self.m[i]), int(self.k[i])
+            w = 2 * k + 1
+            # Bands of 2(2k + 1) diagonals, each beginning 2k + 1 after the last: any 2k + 1 lie in one.
+            half = (at[rows] - here + m) // w
+            for shift in (0, 1):
+                band = (half + shift) >> 1
                 # The same q-gram may repeat inside a band; distinct ones of the item count.
-                if len(np.unique(place[of == b])) < self.bound[i]:
+                low = int(band.min())
+                there = np.zeros((int(band.max()) - low + 1, m), bool)
+                there[band - low, here] = True
+                n = there.sum(axis=1)
+                b = np.flatnonzero(n >= self.bound[i])
+                middle = (2 * (b + low) - shift + 1) * w - m
+                found.append((np.full(len(b), i), middle - w - k, middle + w + m + k, n[b]))
+        return tuple(np.concatenate(c) for c in zip(*found))
+
+    def _best(self, text: str, code: np.ndarray, i: int, bands) -> tuple[int, int, int] | None:
+        """The region of item ``i`` with the fewest edits, the first of them, from bands (begin, end, least edits) in order of
+        their edits and begin."""
+        m, k = int(self.m[i]), int(self.k[i])
+        # No alignment is better than the item itself.
+        same = text.find(self.items[i][1])
+        if same >= 0:
+            return same, same + m, 0
+        best, known, many = None, {}, []
+        for begin, end, least in bands:
+            if best and (least, begin) > (best[2], best[0]):
+                if least > best[2]:
+                    break
+                continue
+            if begin >= end:
+                continue
+            piece = code[begin:end]
+            name = piece.tobytes()
+            if name not in known:
+                if len(known) >= SINGLE:
+                    many.append((begin, end))
                     continue
-                m, k, w = int(self.m[i]), int(self.k[i]), 2 * int(self.k[i]) + 1
-                middle = (2 * int(bands[b] & ((1 << 40) - 1)) - shift + 1) * w - m
-                begin, end = max(0, middle - w - k), min(len(code), middle + w + m + k)
-                if begin >= end:
-                    continue
-                # No alignment is better than the item itself.
-                same = text.find(self.items[i][1], begin, end)
-                found = (same - begin, same - begin + m, 0) if same >= 0 else align(self.codes[i], code[begin:end], k)
-                if found:
-                    region = (begin + found[0], begin + found[1], found[2])
-                    best[i] = min(best.get(i, region), region, key=lambda r: (r[2], r[0], r[1]))
-        for i, region in sorted(best.items()):
-            yield self.items[i][0], *region
+                known[name] = align(self.codes[i], piece, k if best is None else min(k, best[2]))
+            if found := known[name]:
+                region = (begin + found[0], begin + found[1], found[2])
+                best = min(best or region, region, key=lambda r: (r[2], r[0], r[1]))
+        if many and (last := closest(self.codes[i], code, many, k if best is None else best[2])) is not None:
+            begin = max(0, last - m - k)
+            found = align(self.codes[i], code[begin:last], k)
+            region = (begin + found[0], begin + found[1], found[2])
+            best = min(best or region, region, key=lambda r: (r[2], r[0], r[1]))
+        return best
 
 
 def align(item: np.ndarray, region: np.ndarray, k: int) -> tuple[int, int, int] | None:
@@ -171,32 +236,67 @@ def align(item: np.ndarray, region: np.ndarray, k: int) -> tuple[int, int, int]
     if n < m - k:
         return None
     # cost[d] and start[d]: item[:i] against region ending at i + d - k, for diagonals d.
-    d = np.arange(max(n - m, 0) + 2 * k + 1)
-    end = d - k
+    width = max(n - m, 0) + 2 * k + 1
+    d = np.arange(width)
     far = m + n + 1
-    cost = np.where((end >= 0) & (end <= n), 0, far)
-    start = end.copy()
+    # The region with room on both sides: the letter before the end i + d - k is padded[i + d].
+    padded = np.full(m + width + 1, -1, np.int64)
+    room = min(n, m + width - k)
+    padded[k + 1 : k + 1 + room] = region[:room].astype(np.int64)
+    outside = padded < 0
+    ends = np.arange(-k, m + width - k)
+    invalid = (ends < 0) | (ends > n)
+    letters = item.astype(np.int64).tolist()
+    cost, start = np.where(invalid[:width], far, 0), d - k
+    drop, after = np.full(width, far), np.zeros(width, np.int64)
     for i in range(1, m + 1):
-        end = i + d - k
-        valid = (end >= 0) & (end <= n)
-        other = (end < 1) | (end > n)
-        letter = region[np.clip(end - 1, 0, n - 1)]
-        swap = np.where(other, far, cost + (letter != item[i - 1]))
-        drop = np.append(cost[1:], far) + 1
+        swap = cost + (padded[i : i + width] != letters[i - 1])
+        swap[outside[i : i + width]] = far
+        drop[:-1], after[:-1] = cost[1:] + 1, start[1:]
         take = swap <= drop
-        new, begin = np.where(take, swap, drop), np.where(take, start, np.append(start[1:], 0))
+        new, begin = np.where(take, swap, drop), np.where(take, start, after)
         # Letters of the region that the item lacks: walk right along the row, one edit a step.
         slope = new - d
         low = np.minimum.accumulate(slope)
         at = np.maximum.accumulate(np.where(slope == low, d, 0))
-        cost = np.where(valid, low + d, far)
+        cost = low + d
+        cost[invalid[i : i + width]] = far
         start = begin[at]
+        # Costs never fall from row to row.
+        if not i & 7 and cost.min() > k:
+            return None
     best = int(cost.argmin())
     if cost[best] > k:
         return None
     return int(start[best]), int(m + best - k), int(cost[best])
 
 
+def closest(item: np.ndarray, text: np.ndarray, regions: list[tuple[int, int]], k: int) -> int | None:
+    """The first place in the regions (begin, end) where the item ends with the fewest edits, if these are k at most. A row
+    of the table is a whole number whose bits are the differences between its cells, so a letter costs a few operations."""
+    m = len(item)
+    all_, top = (1 << m) - 1, 1 << (m - 1)
+    where: dict[int, int] = {}
+    for j, letter in enumerate(item.tolist()):
+        where[letter] = where.get(letter, 0) | 1 << j
+    fewest, best, done = k + 1, None, 0
+    up, down, cost = all_, 0, m
+    for begin, end in sorted(regions):
+        if begin > done:  # a gap: nothing that began before it goes on
+            up, down, cost = all_, 0, m
+        for at in range(max(begin, done), end):
+            same = where.get(int(text[at]), 0) | down
+            diagonal = (((same & up) + up) ^ up) | same
+            right, left = down | (all_ & ~(diagonal | up)), up & diagonal
+            cost += 1 if right & top else -1 if left & top else 0
+            right <<= 1
+            up, down = (left << 1 | ~(diagonal | right)) & all_, right & diagonal & all_
+            if cost < fewest:
+                fewest, best = cost, at + 1
+        done = max(done, end)
+    return best
+
+
 def blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The items, a bounded block at a time, in order of their ids."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL")
@@ -215,7 +315,7 @@ def blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 def _searcher(index, n_keys: int, schema: list[str]):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = index.value
+        find = cloudpickle.loads(index.value)
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
@@ -230,26 +330,37 @@ def _searcher(index, n_keys: int, schema: list[str]):
     return search
 
 
+def sent(context, block: list[tuple[int, str]], share: float):
+    """The index of a block for all executors, as bytes that hold its class by value."""
+    return context.broadcast(cloudpickle.dumps(Index([(n, t, *budget(len(t), share)) for n, t in block])))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, keys: list[str], share: float = SHARE) -> DataFrame:
     """(keys, item_id, begin, end, edits): for every document and item, the best region of the
     document's normal text that is within the edit budget of the item."""
     context = docs.sparkSession.sparkContext
-    docs = docs.select(*keys, "text")
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keys]
+    taken = [c.split()[0] for c in FOUND.split(", ")]
+    renamed = [f"key_{k}" if k in taken else k for k in keys]
+    docs = docs.select(*[F.col(k).alias(r) for k, r in zip(keys, renamed)], F.col("text").alias("_text"))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in renamed]
     schema = ", ".join([*kinds, FOUND])
-    names = [*keys, *(c.split()[0] for c in FOUND.split(", "))]
+    names = [*renamed, *taken]
     found = docs.sparkSession.createDataFrame([], schema)
     for i, block in enumerate(blocks(items)):
-        index = context.broadcast(Index([(n, t, *budget(len(t), share)) for n, t in block]))
+        index = sent(context, block, share)
         part = docs.mapInArrow(_searcher(index, len(keys), names), schema)
         found = part if i == 0 else found.unionByName(part)
     return found
 
 
 def _flagger(index):
+    unpacked = []
+
     @arrow_udf("boolean")
     def hit(texts: pa.Array) -> pa.Array:
-        find = index.value
+        if not unpacked:
+            unpacked.append(cloudpickle.loads(index.value))
+        find = unpacked[0]
         return pa.array([bool(t and find.search(normal(t))) for t in texts.to_pylist()], pa.bool_())
 
     return hit
@@ -259,6 +370,6 @@ def without_contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE
     """The documents of ``docs`` that no item contaminates, with all their columns."""
     context = docs.sparkSession.sparkContext
     for block in blocks(items):
-        index = context.broadcast(Index([(n, t, *budget(len(t), share)) for n, t in block]))
+        index = sent(context, block, share)
         docs = docs.filter(~_flagger(index)("text"))
     return docs

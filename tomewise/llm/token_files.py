@@ -12,6 +12,7 @@ shuffled. A shard is written under a name of its own for each attempt and then m
 that a repeated task leaves the same file. Readers map the files into memory where the folder is local
 to them and read them by range elsewhere.
 
+Texts are encoded as by ``encode(text, add_special_tokens=False)``: a special token that stands in a text gets its id.
 A null text is empty: it has the end id alone. A null doc_id comes first and is kept as null. Rows that
 share a doc_id are documents of their own, in order of their texts. An empty table gives an empty
 manifest. Other columns are not read.
@@ -86,12 +87,15 @@ class Encoder:
     what is around it, so each different piece is encoded once by the tokenizer's own steps (its splits, then
     its model), and the ids of a text are those of its pieces in a row. Other tokenizers get whole texts."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        # Texts that hold one of these are encoded whole; all others are the same either way.
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         kind = type(self.tokenizer.pre_tokenizer).__name__
         self.by_piece = kind == "ByteLevel" and self.tokenizer.normalizer is None
@@ -101,7 +105,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         if not self.by_piece:
-            return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+            return self._whole(text)
         if not (plain := _PLAIN.fullmatch(text)):
             parts = self.splitter.pre_tokenize_str(text)
             return self._packed([t.id for p, _ in parts for t in self.model.tokenize(p)])
@@ -115,6 +119,9 @@ class Encoder:
             self.marks[marks] = [t.id for t in self.model.tokenize(marks)]
         return self._packed(ids + self.marks[marks] if marks else ids)
 
+    def _whole(self, text: str) -> bytes:
+        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
     def _packed(self, ids: list[int]) -> bytes:
         return array("H" if self.dtype.itemsize == 2 else "I", ids).tobytes()
 
@@ -130,7 +137,8 @@ class Encoder:
         """The ids of each text, as bytes of ``dtype``."""
         if not self.by_piece:
             return [self.encode(t) for t in texts]
-        done = [self._one(t) for t in texts]
+        added = self.added.search if self.added else lambda text: None
+        done = [self._whole(t) if added(t) else self._one(t) for t in texts]
         if len(self.tails) + len(self.heads) > REMEMBERED:
             lately = {p for t in texts for p in t.split(" ")[1:]}
             self.tails = self.tails.renew([p for p in lately if p in self.tails][: REMEMBERED // 4])
@@ -139,8 +147,10 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, special: bool = False) -> Encoder:
+    """The encoder of a tokenizer file. With ``special``, added tokens that stand in a text get their own ids, as by
+    the tokenizer's plain call; without, they are text like any other."""
+    return Encoder(path, special)
 
 
 def _folder(path: str) -> tuple[pafs.FileSystem, str]:
@@ -156,7 +166,7 @@ def _name(shard: int, kind: str) -> str:
 
 def _shard_writer(path: str, tokenizer: str, end_id: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, encode = TaskContext.get().partitionId(), encoder(tokenizer)
+        shard, encode = TaskContext.get().partitionId(), encoder(tokenizer, special=True)
         fs, root = _folder(path)
         fs.create_dir(root)
         end = np.array([end_id], encode.dtype).tobytes()

@@ -151,3 +151,26 @@ def test_jdbc_reads_in_parallel_over_the_key_range():
     recorder = Recorder({"lo": None, "hi": None})
     jdbc.read_table(recorder, source, "col_id", 4)
     assert "numPartitions" not in recorder.calls[1][2]
+
+
+def test_payloads_whose_shape_drifts(spark):
+    from tomewise.sources.xmlbooks import parse_drifting_books, payload_shape
+
+    book = "<book><id>{}</id><isbn>001</isbn><title>007</title>{}</book>"
+    payloads = [
+        (1, book.format(1, "<authors><author><name>A</name></author></authors>"), "A"),
+        (2, "<response>" + book.format(2, "<authors><author><name>A</name></author><author><name>B</name></author></authors>") + "</response>", "A, B"),
+        (3, book.format(3, "<authors><author>A</author><author>B</author></authors>").replace("<id>", '<id type="integer">'), "A, B"),
+        (4, book.format(4, "<authors><author>A</author></authors>"), "A"),
+        (5, book.format(5, "<authors>A, B</authors>"), "A, B"),
+        (6, book.format(6, ""), None),
+        (7, book.format(7, "<authors/>"), None),
+        (8, book.format(8, "<authors><author><name>A</name><id>9</id></author></authors>"), "A"),
+    ]
+    df = spark.createDataFrame([(p,) for _, p, _ in payloads], "payload STRING")
+    got = sorted((r.ext_book_id, r.author, r.isbn10, r.title) for r in parse_drifting_books(df).collect())
+    assert got == [(i, names, "001", "007") for i, _, names in payloads]
+    shape = payload_shape(df).first()
+    assert shape.payloads == 8 and "id: VARIANT" in shape["shape"] and "author: VARIANT" in shape["shape"]
+    with pytest.raises(Exception, match="no id"):
+        parse_drifting_books(spark.createDataFrame([("<book><title>x</title></book>",)], "payload STRING")).collect()

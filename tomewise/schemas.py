@@ -52,11 +52,13 @@ def rows(spark: SparkSession, data, schema: StructType) -> DataFrame:
     return spark.createDataFrame(data, schema)
 
 
-def ensure_tables(spark: SparkSession, source: str = "parquet") -> None:
+def ensure_tables(spark: SparkSession, source: str = "parquet", database: str | None = None) -> None:
     """Create the four tables that are not there yet."""
     for name, schema in TABLES.items():
-        if not spark.catalog.tableExists(name):
-            spark.catalog.createTable(name, schema=schema, source=source)
+        full = f"{database}.{name}" if database else name
+        if not spark.catalog.tableExists(full):
+            spark.catalog.createTable(full, schema=schema, source=source)
+
 
 # What every stored rating must have.
 RATING_NUMBERS = ("col_id", "user_id", "rating", "book_id")

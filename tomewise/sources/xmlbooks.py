@@ -55,6 +55,65 @@ def parse_books(payloads: DataFrame, column: str = "payload") -> DataFrame:
     return parsed.select(book.alias("book")).select(*_book_columns("book"))
 
 
+# The fields that come in several shapes are VARIANT; text stays text, so that an ISBN keeps its zeros.
+DRIFTING = (
+    "id VARIANT, isbn STRING, title STRING, image_url STRING, description STRING,"
+    " authors VARIANT, publication_year INT"
+)
+
+
+def _shape(value: Column) -> Column:
+    return F.schema_of_variant(value)
+
+
+def _drifting_id(value: Column) -> Column:
+    """A number, or a number beside attributes."""
+    return F.coalesce(F.try_variant_get(value, "$", "int"), F.try_variant_get(value, "$._VALUE", "int"))
+
+
+def _drifting_authors(value: Column) -> Column:
+    """Names, joined in their order: of one author or several, as elements or as plain text."""
+    several = F.try_variant_get(value, "$.author", "array<struct<name: string>>")
+    named = F.filter(F.transform(several, lambda a: a["name"]), lambda name: name.isNotNull())
+    plain = F.when(_shape(value).startswith("OBJECT<author: ARRAY<"), F.try_variant_get(value, "$.author", "array<string>"))
+    one = F.when(~_shape(value).startswith("OBJECT<author: OBJECT<"), F.try_variant_get(value, "$.author", "string"))
+    text = F.when(_shape(value) == "STRING", F.try_variant_get(value, "$", "string"))
+    found = F.coalesce(
+        F.when(F.size(named) > 0, F.array_join(named, ", ")),
+        F.array_join(plain, ", "),
+        F.try_variant_get(value, "$.author.name", "string"),
+        one,
+        text,
+    )
+    return F.nullif(found, F.lit(""))
+
+
+def parse_drifting_books(payloads: DataFrame, column: str = "payload") -> DataFrame:
+    """As :func:`parse_books`, of payloads whose shape changes from row to row: the book may be wrapped, its id may have
+    attributes, and its authors may be one or several, elements with a name or plain text. A number that stands for a
+    name loses its leading zeros. A payload without a book id raises."""
+    inner = ", ".join(": ".join(field.split(" ")) for field in DRIFTING.split(", "))
+    schema = f"{DRIFTING}, book STRUCT<{inner}>"
+    parsed = payloads.select(F.from_xml(column, schema, {"mode": "FAILFAST"}).alias("root"))
+    wrapped = lambda name: F.when(F.col("root.book").isNotNull(), F.col(f"root.book.{name}")).otherwise(F.col(f"root.{name}"))
+    no_id = F.raise_error(F.lit("a book payload has no id"))
+    return parsed.select(
+        F.coalesce(_drifting_id(wrapped("id")), no_id.cast("int")).alias("ext_book_id"),
+        wrapped("isbn").alias("isbn10"),
+        wrapped("title").alias("title"),
+        _drifting_authors(wrapped("authors")).alias("author"),
+        wrapped("publication_year").alias("publication_year"),
+        wrapped("image_url").alias("image_url"),
+        wrapped("description").alias("description"),
+    )
+
+
+def payload_shape(payloads: DataFrame, column: str = "payload") -> DataFrame:
+    """One row (payloads, shape): the schema that covers all payloads, with VARIANT where they disagree."""
+    parsed = payloads.select(F.from_xml(column, "variant").alias("v"))
+    return parsed.agg(F.count("v").alias("payloads"), F.schema_of_variant_agg("v").alias("shape"))
+
+
 def parse_searches(payloads: DataFrame, column: str = "payload") -> DataFrame:
     """One row per work of every search payload."""
     parsed = payloads.select(F.from_xml(column, SEARCH, {"mode": "FAILFAST"}).alias("found"))

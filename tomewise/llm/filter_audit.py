@@ -41,7 +41,7 @@ ORDERS = ["".join(p) for p in permutations(FILTERS)]
 
 CHUNK = 32 << 20
 # Bytes of text that a range should have at least, and what a row weighs besides.
-RANGE_BYTES, ROW_WEIGHT = 32 << 20, 64
+RANGE_BYTES, ROW_WEIGHT = 1 << 20, 64
 LEVELS = (4, 16, 64, 256, 1024)
 SALTS = 32
 _BATCH = 4 << 20

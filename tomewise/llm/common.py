@@ -5,7 +5,8 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tomewise.session import cut, fresh_dir, shared_dir
 
@@ -16,7 +17,8 @@ _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+FILTER_WORDS = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +50,32 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def _filter_bits(key: Column) -> Column:
+    """Three bits of a 64-bit word for a key."""
+    h = F.xxhash64(F.lit("bits"), key)
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 6 * i).bitwiseAND(63).cast("int"))
+    return bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2))
+
+
+def split_by_ids(df: DataFrame, column: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``df`` as rows whose ``column`` is surely not among ``ids`` (one column), nulls too, and the others, most of which are.
+
+    The ids are a Bloom filter of at most ``FILTER_WORDS`` words, about ten bits an id where that is enough, so what is
+    broadcast is bounded. With more ids more rows are in doubt, and none is lost: the others still have to be joined. So
+    rows that a join would only drop or let through do not move."""
+    (name,) = ids.columns
+    key = F.col(name).cast("long")
+    n = ids.count()
+    words = min(FILTER_WORDS, 1 << max(6, (max(1, n) * 10 // 64).bit_length()))
+    word_of = lambda k: F.pmod(F.xxhash64(k), F.lit(words))
+    filter_ = ids.filter(key.isNotNull()).groupBy(word_of(key).alias("_word")).agg(F.bit_or(_filter_bits(key)).alias("_bits"))
+    mine = F.col(column).cast("long")
+    rows = df.select(F.struct("*").alias("_row"), F.when(mine.isNotNull(), word_of(mine)).alias("_word"), _filter_bits(mine).alias("_mine"))
+    marked = rows.join(F.broadcast(cut(filter_)), "_word", "left")
+    maybe = F.coalesce(F.col("_bits").bitwiseAND(F.col("_mine")) == F.col("_mine"), F.lit(False))
+    return marked.filter(~maybe).select("_row.*"), marked.filter(maybe).select("_row.*")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A one-to-one scrambling of 64-bit numbers."""
     x = x.astype(np.uint64, copy=True)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomewise.llm.common import cut, cut_at, drop_table, map_batches, mix, release, slices, tasks, words_of
+from tomewise.llm.common import cut, cut_at, drop_table, map_batches, mix, release, slices, split_by_ids, tasks, words_of
 from tomewise.llm.components import components
 
 WORDS, PERCENT = 4, 85
@@ -359,7 +359,8 @@ def groups(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataF
         "block", F.explode(_blocks(F.col("here"), F.col("node"), CLUSTER_TILE))
     )
     keys = cut(placed.select("node", "least", *identity, F.xxhash64("component", "tile_band", "block").alias("tile")))
-    with_text = docs.filter("text IS NOT NULL")
+    # Only texts of candidates move.
+    _, with_text = split_by_ids(docs.filter("text IS NOT NULL"), "doc_id", keys.select("least").distinct())
     texts = keys.join(with_text, keys.least == with_text.doc_id).select("tile", "node", *identity, "text")
     links = cut(texts.groupBy("tile").applyInArrow(_cluster_edges(percent, words), "a BIGINT, b BIGINT"))
 

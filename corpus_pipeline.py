@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomewise.llm import decontam, jaccard, mixing, quality, queries, token_files
-from tomewise.llm.common import cut, cut_at, drop_table, table
+from tomewise.llm.common import cut, cut_at, drop_table, split_by_ids, table
 from tomewise.session import fresh_dir
 
 MIX_SHARE, MIX_EPOCHS = (9, 10), 1
@@ -33,16 +33,19 @@ def near_duplicates(
     spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int = jaccard.PERCENT, words: int = jaccard.WORDS
 ) -> DataFrame:
     found = cut(jaccard.groups(docs, percent, words))
-    # The ids that go, or that stay but repeat, are few beside the documents, whose texts move at most once.
+    # The ids that go, or that stay but repeat, are few beside the documents. Documents that are surely none of them
+    # stay where they are; only the others move to be joined.
     goes = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("goes"))
     repeats = found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    repeats = repeats.filter(F.col("rows") > 1).select(F.col("doc_id").alias("goes"))
-    number = docs["doc_id"].cast("long")
+    repeats = cut(repeats.filter(F.col("rows") > 1).select(F.col("doc_id").alias("goes")))
+    listed = cut(goes.unionByName(repeats).distinct())
+    surely, others = split_by_ids(docs, "doc_id", listed)
+    number = others["doc_id"].cast("long")
+    kept = surely.unionByName(others.join(listed, number == F.col("goes"), "left_anti"))
     if repeats.isEmpty():
-        return docs.join(goes.distinct(), number == F.col("goes"), "left_anti")
-    once = docs.join(goes.unionByName(repeats).distinct(), number == F.col("goes"), "left_anti")
-    again = docs.join(repeats, number == F.col("goes"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(again)
+        return kept
+    again = others.join(repeats, number == F.col("goes"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(again)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,8 @@ inside a turn over its segments, and over the turns of a conversation. The outpu
 one conversation may hold a third of all turns: its stream is its rows in order of ``start``.
 
 A null text is empty, a null role is the empty role, a null conv_id is a conversation of its own. Turns with
-the same number (null comes first) follow each other by role and text; repeated rows stay repeated.
+the same number (null comes first) follow each other by role, by the first 64 characters of their text and by its digest;
+repeated rows stay repeated.
 """
 
 import hashlib
@@ -26,11 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomewise.llm.common import cut, lists, map_batches, tasks
 from tomewise.llm.token_files import encoder
+from tomewise.operators.ordering import in_ranges, running_total
 
 # Reserved ids count up from the size of the vocabulary, in this order.
 CONTROLS = ("[INST]", "[/INST]", "</s>", "[SYS]", "[/SYS]", "[ROLE]", "[/ROLE]")
@@ -100,6 +102,20 @@ def _turn_encoder(tokenizer: str):
     return encode
 
 
+def _starts(coded: DataFrame) -> DataFrame:
+    """(row, start): the ids before each turn in its conversation. Running totals over ranges of narrow rows, so that no
+    conversation has to fit into a task."""
+    narrow = coded.select(
+        "conv_id", "turn", "role", F.substring("text", 1, 64).alias("head"), F.sha2("text", 256).alias("digest"), "row", "n_ids"
+    )
+    order = ["conv_id", "turn", "role", "head", "digest", "row"]
+    upto = running_total(in_ranges(narrow, order), order, "n_ids", "upto")
+    before = cut(upto.select("conv_id", "row", (F.col("upto") - F.col("n_ids")).alias("before")))
+    first = before.groupBy("conv_id").agg(F.min("before").alias("first")).withColumnRenamed("conv_id", "conv")
+    joined = before.join(first, F.col("conv_id").eqNullSafe(F.col("conv")))
+    return joined.select("row", (F.col("before") - F.col("first")).alias("start"))
+
+
 def format_chats(turns: DataFrame, tokenizer: str) -> DataFrame:
     """(conv_id, start, ids, loss_from, loss_to, n_chars) per turn of ``turns (conv_id, turn, role,
     text)``: where the turn starts in the conversation's stream, its ids, and the span of ids, counted
@@ -111,10 +127,9 @@ def format_chats(turns: DataFrame, tokenizer: str) -> DataFrame:
         F.col("text").cast("string").alias("text"),
     )
     coded = map_batches(turns, _turn_encoder(tokenizer), FORMATTED)
-    order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text")
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("n_ids").over(earlier), F.lit(0))
-    return coded.withColumn("start", start).select(
+    # Numbers that hold once they are written; the ids stay where they are while the starts are found.
+    coded = cut(coded.withColumn("row", F.monotonically_increasing_id()))
+    return coded.join(_starts(coded), "row").select(
         "conv_id",
         "start",
         "ids",

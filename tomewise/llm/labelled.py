@@ -28,4 +28,6 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int]
         some = known.filter(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         drawn = some if drawn is None else drawn.unionByName(some)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return cut(texts.join(F.broadcast(drawn), "doc_id"))
+    # A drawn id may stand on any number of rows: one of them, the first by its text, is in the sample.
+    one = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return cut(one.select("doc_id", "text", "label"))

@@ -10,7 +10,7 @@ the original and the others are later copies; later copies in a row make a maxim
 of a run goes.
 
 So a line goes if and only if it is one of ``min_lines`` lines in a row that begin earlier in the corpus as well, where
-the earlier place may overlap. Lines end at line breaks and are compared by 64-bit hashes of all their characters.
+the earlier place may overlap. Lines end at line breaks and are compared by 128 bits of hashes of all their characters.
 
 A null text has no lines; an empty one has one empty line. Rows that repeat doc_id and text count as
 one document and get the same result. A null doc_id comes first. Other columns are kept.
@@ -86,9 +86,12 @@ def remove_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFr
     own = {"doc_id", "text", "n_lines", "n_removed", "kept"}
     others = [c for c in docs.columns if c not in own]
     packed = [F.struct(*others).alias("others")] if others else []
-    docs = docs.select("doc_id", "text", *packed, F.xxhash64("doc_id", "text").alias("rid"))
+    # Two hashes each: one is too few to tell 10^12 lines apart.
+    rid = F.struct(F.xxhash64("doc_id", "text").alias("x"), F.xxhash64(F.lit("row"), "text", "doc_id").alias("y"))
+    docs = docs.select("doc_id", "text", *packed, rid.alias("rid"))
     split = F.split("text", "\n", -1)
-    ids = docs.select("doc_id", "rid", F.posexplode(F.transform(split, lambda x: F.xxhash64(x))).alias("line", "id"))
+    line = lambda x: F.struct(F.xxhash64(x).alias("x"), F.xxhash64(F.lit("line"), x).alias("y"))
+    ids = docs.select("doc_id", "rid", F.posexplode(F.transform(split, line)).alias("line", "id"))
     lines = cut(ids)
     found = runs(later_copies(repeated_suffixes(lines, min_lines)), min_lines)
     # At most as many runs as the document has lines.

@@ -13,7 +13,8 @@ Queries are a stated part of the rows; they are taken in blocks of bounded size,
 
 Equal vectors are indexed once, with their ``k + 1`` smallest ids, so a vector that a third of the rows share costs no
 more than another and all ties are seen. Vectors that are null, zero, hold null or non-finite numbers, or differ in
-length from most take no part, as queries or candidates. Rows that repeat an id with a vector count once. Null ids take no part.
+length from most take no part, as queries or candidates. Null ids take no part. An id that is repeated has one vector: of those
+that take part the first, number by number.
 Distances are Euclidean, in double precision on the original numbers; ties go to the smaller id.
 
 ``share`` decides recall against work. Directions without structure, as in the test table where the nearest of 50,000
@@ -25,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,14 +46,15 @@ def usable(vectors: DataFrame) -> DataFrame:
     )
     sizes = good.groupBy(F.size("embedding").alias("n")).count()
     usual = sizes.orderBy(F.desc("count"), "n").select("n").first()
-    return good.filter(F.size("embedding") == (usual.n if usual else 0))
+    known = good.filter(F.size("embedding") == (usual.n if usual else 0))
+    return known.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
 def distinct_vectors(good: DataFrame, k: int) -> DataFrame:
     """(embedding, ids): every different vector once, with its k + 1 smallest ids in order."""
     first = Window.partitionBy("embedding").orderBy("vec_id")
     # The rank is cut before the shuffle as well, so a hot vector sends few rows per task.
-    few = good.distinct().withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k + 1)
+    few = good.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k + 1)
     return few.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
 
@@ -130,7 +133,7 @@ class Queries:
 
 def _counter(queries):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = queries.value
+        q = cloudpickle.loads(queries.value)
         total = np.zeros((len(q.ids), BITS + 1), np.int64)
         for batch in batches:
             for row in batch.to_pylist():
@@ -153,7 +156,7 @@ def _counter(queries):
 
 def _scorer(queries, k: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = queries.value
+        q = cloudpickle.loads(queries.value)
         for batch in batches:
             for row in batch.to_pylist():
                 yield from _score_block(Block.of(row), q, k)
@@ -201,14 +204,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float =
     """(query_id, rank, vec_id, score): the k nearest found to each vector of ``queries``, which is a part of
     ``vectors`` (both vec_id, embedding); a query is never its own neighbour."""
     spark = vectors.sparkSession
-    good = usable(vectors)
+    # Read several times: what an id stands for is found out once.
+    good = cut(usable(vectors))
     size = good.select(F.size("embedding").alias("n")).first()
     found = None
     if size:
         once = distinct_vectors(good, k)
         index = cut(once.mapInArrow(_index_builder(size.n), INDEX))
         indexed = index.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        asked = cut(good.join(queries.select("vec_id").distinct(), "vec_id", "left_semi").distinct())
+        asked = cut(good.join(queries.select("vec_id").distinct(), "vec_id", "left_semi"))
         n_blocks = max(1, -(-asked.count() // QUERY_ROWS))
         part = F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks))
         for b in range(n_blocks):
@@ -218,7 +222,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float =
                 continue
             x = rows["embedding"].combine_chunks().flatten().to_numpy().reshape(-1, size.n).astype(np.float64)
             block = Queries(rows["vec_id"].to_numpy(), x, hash_strings(x, directions(size.n)))
-            sent = spark.sparkContext.broadcast(block)
+            sent = spark.sparkContext.broadcast(cloudpickle.dumps(block))
             counts = index.mapInArrow(_counter(sent), "q INT, depth INT, entries BIGINT")
             enough = max(least, int(share * indexed))
             deepest = (
@@ -228,7 +232,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float =
             block.depth = np.zeros(len(block.ids), int)
             for r in deepest.collect():
                 block.depth[r.q] = r.depth
-            sent = spark.sparkContext.broadcast(block)
+            sent = spark.sparkContext.broadcast(cloudpickle.dumps(block))
             some = index.mapInArrow(_scorer(sent, k), "query_id BIGINT, vec_id BIGINT, score DOUBLE")
             found = some if found is None else found.unionByName(some)
     if found is None:

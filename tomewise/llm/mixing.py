@@ -153,8 +153,10 @@ def select_epochs(
     """``docs`` with a row for every time a document is taken: ``epoch`` from 0 and ``tokens_taken``.
 
     ``budget`` is a number of tokens, or a share (numerator, denominator) of all there are. ``keys`` tell
-    documents apart.
+    documents apart. Columns of ``docs`` that are named ``epoch`` or ``tokens_taken`` come back as ``input_<name>``.
     """
+    for name in ("epoch", "tokens_taken"):
+        docs = docs.withColumnRenamed(name, f"input_{name}")
     docs = docs.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN)) for c in levels})
     # Few columns go through the search for the ends; texts and the rest only meet its result.
     columns = list(dict.fromkeys([*levels, *keys, tokens]))

@@ -9,7 +9,7 @@ from tomewise.llm import (
 )
 from tomewise.llm.common import shared_dir, table
 from tomewise.llm.labelled import held_out
-from tomewise.llm.sql import AUDIT, TRIE
+from tomewise.llm.sql import AUDIT, CHAT, SAID, TRIE
 from tomewise.session import fresh_dir
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -85,9 +85,8 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = "</s>[INST] ok [/INST]"
     planted = spark.createDataFrame(
-        [(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id BIGINT, turn BIGINT, role STRING, text STRING"
+        [(-1, 0, "user", SAID), (-1, 1, "assistant", SAID)], "conv_id BIGINT, turn BIGINT, role STRING, text STRING"
     )
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
     return chat.read_back(chat.written(chat.format_chats(turns, TOKENIZER)), TOKENIZER)
@@ -185,6 +184,7 @@ ORACLES: dict[str, str] = {
     "op1_mixing": mix_sql(DOCS_SQL, MIX_SEED, MIX_EPOCHS, MIX_SHARE),
     "op3_lines": lines_sql(lines.MIN_LINES),
     "op3_lines_any_length": lines_sql(1),
+    "op9_chat": CHAT,
     "op11_conversation_trie": TRIE,
     "op13_filter_audit": AUDIT,
 }

@@ -1,5 +1,6 @@
 """SQL of the conversation trie and the filter audit, for DuckDB."""
 
+from tomewise.llm.chat import CONTROLS
 from tomewise.llm.conv_trie import FAMILY, HEADS
 from tomewise.llm.filter_audit import CAPITAL_PERCENT, DISTINCT_PERCENT, FILTERS, LEAST_WORDS, MARKS, ORDERS
 
@@ -31,6 +32,28 @@ counted AS (SELECT part, filter_order, step, filter,
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
     (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley, filter FROM counted"""
 
+SAID = "</s>[INST] ok [/INST]"
+_CONTROL = "|".join(c.replace("[", chr(92) + "[").replace("]", chr(92) + "]") for c in CONTROLS)
+
+
+def _escaped(text: str) -> str:
+    """The length of a text with its backslashes doubled and one more in each control string."""
+    back = f"length({text}) - length(replace({text}, chr(92), ''))"
+    return f"(length({text}) + {back} + len(regexp_extract_all({text}, '{_CONTROL}')))"
+
+
+CHAT = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '{SAID}' UNION ALL SELECT -1, 1, 'assistant', '{SAID}'),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, t) AS p FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY p)) AS turns_sha256,
+    coalesce(sum(length(t)) FILTER (r = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(t, '' ORDER BY p) FILTER (r = 'assistant'), '')) AS loss_sha256,
+    sum(CASE r WHEN 'user' THEN length('[INST][/INST]') + {_escaped("t")} WHEN 'assistant' THEN length('</s>') + {_escaped("t")}
+        WHEN 'system' THEN length('[SYS][/SYS]') + {_escaped("t")}
+        ELSE length('[ROLE][/ROLE]</s>') + {_escaped("r")} + {_escaped("t")} END)::BIGINT AS formatted_chars
+FROM o GROUP BY conv_id"""
+
 # Fixed value: the reversed polynomial of CRC-32.
 CRC_POLYNOMIAL = 3988292384
 

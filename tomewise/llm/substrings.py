@@ -315,14 +315,19 @@ def _remover(n_keys: int):
 
 def remove_repeats(docs: DataFrame, keys: list[str], window: int = WINDOW) -> DataFrame:
     """(keys, n_words, n_removed, kept) per row of ``docs (keys, text)``; ``kept`` is what is left, words joined
-    by one blank."""
+    by one blank. A key named like one of the results comes back as ``key_<name>``."""
     from pyspark.sql.functions import arrow_udf
 
-    # Rows that agree in keys and text share a number; they are copies of each other all the same.
-    docs = docs.select(F.xxhash64(*keys, "text").alias("rid"), *keys, "text")
+    # Rows that agree in keys and text share a number, a hash of both; they are copies of each other all the same.
+    # The caller's names come back at the end.
+    named = [f"_key{i}" for i in range(len(keys))]
+    docs = docs.select(F.xxhash64(*keys, "text").alias("rid"), *[F.col(k).alias(n) for k, n in zip(keys, named)], "text")
+    taken = [c.split()[0] for c in KEPT.split(", ")]
+    renamed = [f"key_{k}" if k in taken else k for k in keys]
+    keys = named
     runs = repeated_runs(docs.select("rid", "text"), window)
     pack = arrow_udf(_packed, "binary")
     packed = docs.select("rid", *keys, pack("text").alias("text"))
     joined = packed.join(runs, "rid", "left").select(*keys, "text", "runs")
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keys]
-    return map_batches(joined, _remover(len(keys)), ", ".join([*kinds, KEPT]))
+    return map_batches(joined, _remover(len(keys)), ", ".join([*kinds, KEPT])).toDF(*renamed, *taken)

@@ -140,6 +140,9 @@ class Recorder:
     def first(self):
         return self.bounds
 
+    def isEmpty(self):
+        return self.bounds["hi"] is None
+
 
 def test_jdbc_reads_in_parallel_over_the_key_range():
     source = jdbc.JdbcTable("jdbc:x", "ratings", {"user": "u"})
@@ -151,6 +154,9 @@ def test_jdbc_reads_in_parallel_over_the_key_range():
     recorder = Recorder({"lo": None, "hi": None})
     jdbc.read_table(recorder, source, "col_id", 4)
     assert "numPartitions" not in recorder.calls[1][2]
+    # Rows, but none with a value to split on: one read of everything is refused.
+    with pytest.raises(ValueError):
+        jdbc.read_table(Recorder({"lo": None, "hi": 90}), source, "col_id", 4)
 
 
 def test_payloads_whose_shape_drifts(spark):

@@ -23,6 +23,10 @@ def lookup_url(base: str, text: str) -> Column:
     return F.concat(F.lit(base), F.url_encode(F.col(text)))
 
 
+# Fixed value: what stands before an author's name.
+BY = "By: "
+
+
 def byline(author: str) -> Column:
     """``By: name``; NULL, and so no line, without an author."""
-    return F.concat(F.lit("By: "), F.col(author))
+    return F.concat(F.lit(BY), F.col(author))

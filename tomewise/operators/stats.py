@@ -17,12 +17,16 @@ def _totals(ratings: DataFrame, approximate: bool) -> DataFrame:
     )
 
 
+# The labels of the three rows, and the edges of the rating histogram.
+LABELS = ("# of Ratings", "# of Users", "# of Books")
+EDGES = (1, 2, 3, 4, 5, 6)
+
+
 def characteristics(ratings: DataFrame, approximate: bool = False) -> DataFrame:
     """Numbers of ratings, users and books as three labelled rows."""
     return _totals(ratings, approximate).select(
         F.expr(
-            "stack(3, '# of Ratings', ratings, '# of Users', users, '# of Books', books)"
-            " AS (characteristic, count)"
+            "stack(3, '{}', ratings, '{}', users, '{}', books) AS (characteristic, count)".format(*LABELS)
         )
     )
 
@@ -45,7 +49,7 @@ def mean_and_mode(ratings: DataFrame) -> DataFrame:
     )
 
 
-def histogram(ratings: DataFrame, edges=(1, 2, 3, 4, 5, 6), column: str = "rating") -> DataFrame:
+def histogram(ratings: DataFrame, edges=EDGES, column: str = "rating") -> DataFrame:
     """Counts between consecutive edges; the last bin includes its upper edge.
 
     One conditional count per bin in a single pass: each task sends one row, and a bin

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tomewise.operators.quality import latest_per_key
 
-DEFAULT_COVER = "default-book-cover.jpg"
+DEFAULT_COVER = "no-cover.png"
 
 # Order of the copies of one user-book pair: the greatest is kept.
 NEWEST = [

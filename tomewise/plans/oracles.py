@@ -41,7 +41,7 @@ books AS (
 CATALOG = f"""{GR_BOOKS}, {BOOKS},
 catalog AS (
   SELECT gr_id AS book_id, ext_book_id, title,
-         coalesce(image_url, 'default-book-cover.jpg') AS image_url
+         coalesce(image_url, 'no-cover.png') AS image_url
   FROM gr_books LEFT JOIN books USING (ext_book_id)
 )"""
 
@@ -254,12 +254,12 @@ ORACLES = {
         WHERE contains(lower(title), 'widget') AND contains(lower(author), 'brand#1')""",
     "book_detail": f"""WITH {BOOKS}
         SELECT ext_book_id, title, author, publication_year,
-               coalesce(image_url, 'default-book-cover.jpg') AS image_url,
+               coalesce(image_url, 'no-cover.png') AS image_url,
                ext_book_id IS NOT NULL AS rateable
         FROM books""",
     "book_by_id": f"""WITH {BOOKS}
         SELECT ext_book_id, title, author, publication_year,
-               coalesce(image_url, 'default-book-cover.jpg') AS image_url,
+               coalesce(image_url, 'no-cover.png') AS image_url,
                ext_book_id IS NOT NULL AS rateable
         FROM books WHERE ext_book_id = 100294""",
     "book_links": f"""WITH {BOOKS}

@@ -31,7 +31,10 @@ def read_table(
         source.url, source.bounds_query(split_on), properties=source.properties
     ).first()
     if bounds["lo"] is None:
-        return spark.read.jdbc(source.url, source.table, properties=source.properties)
+        whole = spark.read.jdbc(source.url, source.table, properties=source.properties)
+        if not whole.isEmpty():
+            raise ValueError(f"{source.table} has rows but {split_on} is NULL in all of them: split on another column")
+        return whole
     return spark.read.jdbc(
         source.url,
         source.table,

@@ -17,23 +17,23 @@ def vectors(spark, seed, n, width, skew=0.0):
     return spark.createDataFrame([(i, (rng.normal(size=width) * lengths[i]).tolist()) for i in range(n)], FACTORS)
 
 
-@pytest.mark.parametrize("width, skew, decimals", [(8, 0.0, None), (7, 0.05, 6), (3, 0.05, 1), (1, 0.01, 2)])
+@pytest.mark.parametrize("width, skew, decimals", [(8, 0.0, None), (7, 0.05, 6), (3, 0.05, 1)])
 def test_rows_are_those_of_the_full_product(spark, width, skew, decimals):
-    users, items = vectors(spark, 1, 30, width), vectors(spark, 2, 130, width, skew)
-    seen = spark.range(900).select((F.col("id") % 31).cast("int").alias("user_id"), (F.col("id") % 129).cast("int").alias("book_id"))
+    users, items = vectors(spark, 1, 30, width), vectors(spark, 2, 60, width, skew)
+    seen = spark.range(900).select((F.col("id") % 31).cast("int").alias("user_id"), (F.col("id") % 59).cast("int").alias("book_id"))
     for rated in (None, seen.unionByName(seen)):
         got, counts = best_items_pruned(users, items, 5, rated, decimals, items_per_block=9)
         want = best_items(users, items, 5, rated, decimals)
         columns = ["user_id", "rank", "book_id", F.round("prediction", 9)]
         assert rows(got.select(*columns)) == rows(want.select(*columns))
-        assert sum(a + b for a, b in counts) == 30 * -(-130 // 9)
+        assert sum(a + b for a, b in counts) == 30 * -(-60 // 9)
 
 
 def test_long_vectors_first_make_the_rest_unnecessary(spark):
-    users, items = vectors(spark, 1, 50, 16), vectors(spark, 2, 600, 16, 0.02)
+    users, items = vectors(spark, 1, 50, 16), vectors(spark, 2, 300, 16, 0.04)
     _, counts = best_items_pruned(users, items, 5, items_per_block=20)
     scored, skipped = sum(a for a, _ in counts), sum(b for _, b in counts)
-    assert scored + skipped == 50 * 30 and skipped > scored
+    assert scored + skipped == 50 * 15 and skipped > scored
 
 
 def test_a_user_who_has_seen_the_best_goes_on(spark):

@@ -19,6 +19,7 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 
 SLICE_BYTES = 1 << 18
 FILTER_WORDS = 1 << 20
+TEXT_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -161,6 +162,13 @@ def map_batches(
     return df.mapInArrow(each, schema)
 
 
+def read_texts(spark: SparkSession) -> None:
+    """Let this session read and send whole texts in batches of few rows: what a scan and an Arrow batch hold at once follows
+    the number of their rows, which is made for narrow ones."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", TEXT_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2 * TEXT_ROWS)
+
+
 def binaries(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """Runs of ``flat`` as binary values."""
     flat = np.ascontiguousarray(flat)

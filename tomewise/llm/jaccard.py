@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomewise.llm.common import cut, cut_at, drop_table, map_batches, mix, release, slices, split_by_ids, tasks, words_of
+from tomewise.llm.common import cut, cut_at, drop_table, map_batches, mix, read_texts, release, slices, split_by_ids, tasks, words_of
 from tomewise.llm.components import components
 
 WORDS, PERCENT = 4, 85
@@ -312,6 +312,7 @@ def groups(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataF
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id BIGINT, n BIGINT, h1 BIGINT, h2 BIGINT, prefix ARRAY<BIGINT>, bits BINARY"
+    read_texts(spark)
     sets, sets_at = cut_at(map_batches(docs, _set_rows(percent, words, _frequent(docs, words)), schema))
     identity = ["n", "h1", "h2"]
     some = sets.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())

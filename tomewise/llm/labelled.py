@@ -28,6 +28,13 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int]
         some = known.filter(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         drawn = some if drawn is None else drawn.unionByName(some)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    # A drawn id may stand on any number of rows: one of them, the first by its text, is in the sample.
-    one = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    return cut(one.select("doc_id", "text", "label"))
+    drawn = cut(drawn)
+    # A drawn id may stand on any number of rows: one of them, the first by its text, is in the sample. Texts move only then.
+    ids = texts.select("doc_id").join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    repeats = cut(ids.filter(F.col("n") > 1).select("doc_id"))
+    rows = texts.join(F.broadcast(drawn), "doc_id")
+    if repeats.isEmpty():
+        return cut(rows)
+    again = rows.join(F.broadcast(repeats), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    once = rows.join(F.broadcast(repeats), "doc_id", "left_anti").select("doc_id", "text", "label")
+    return cut(once.unionByName(again.select("doc_id", "text", "label")))

@@ -38,7 +38,7 @@ from tomewise.llm.common import tasks
 END_ID = 2
 NO_DOC = -(1 << 63)
 # Pieces whose ids a worker remembers; beyond that it starts over. It only saves time.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 DOCS_AT_ONCE = 64
 # A blank between non-blanks always begins a piece of its own in a byte-level tokenizer.
 _SAFE = re.compile(r"(?<=\S) (?=\S)")

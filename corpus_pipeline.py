@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomewise.llm import decontam, jaccard, mixing, quality, queries, token_files
-from tomewise.llm.common import cut, cut_at, drop_table, split_by_ids, table
+from tomewise.llm.common import cut, cut_at, drop_table, read_texts, split_by_ids, table
 from tomewise.session import fresh_dir
 
 MIX_SHARE, MIX_EPOCHS = (9, 10), 1
@@ -25,6 +25,7 @@ NEAR_PERCENT, NEAR_WORDS = 80, 5
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    read_texts(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels"), fold=QUALITY_FOLD)
     return docs.filter(quality.score(model, "text") >= quality.ACCEPT)
 
@@ -49,14 +50,17 @@ def near_duplicates(
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    read_texts(spark)
     return near_duplicates(spark, docs, sf_dir, NEAR_PERCENT, NEAR_WORDS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    read_texts(spark)
     return decontam.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    read_texts(spark)
     leaves = docs.select(
         F.struct("*").alias("row"),
         "doc_id",
@@ -73,6 +77,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    read_texts(spark)
     path = fresh_dir(spark, "tokens")
     return token_files.read_token_files(token_files.write_token_files(docs, path, queries.TOKENIZER), path)
 

@@ -7,6 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from conftest import rows
 from tomewise.operators.topk import _best_of_slice, _block_scorer, best_items
@@ -119,3 +120,11 @@ def test_workers_do_not_need_the_package(tmp_path):
         [sys.executable, "-c", load], cwd=tmp_path, capture_output=True, text=True, check=True
     )
     assert out.stdout.split() == ["True", "False"]
+
+
+def test_blocks_are_cut_so_that_little_moves(spark):
+    """Many users and few items: no user is copied, where a fixed number of items to a block would copy all of them."""
+    vector = F.array(F.lit(1.0)).alias("features")
+    users, items = (spark.range(n).select(F.col("id").cast("int").alias("id"), vector) for n in (200_000, 20_000))
+    plan = best_items(users, items, 3)._jdf.queryExecution().logical().toString()
+    assert "sequence(0, 0" in plan

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from tomewise.operators import topk_pruned
 from tomewise.operators.topk import best_items
 from tomewise.operators.topk_pruned import _rounds, best_items_pruned
 
@@ -52,3 +53,12 @@ def test_empty_sides(spark):
 def test_rounds_double():
     assert _rounds(1) == [(0, 0)] and _rounds(2) == [(0, 0), (1, 1)]
     assert _rounds(9) == [(0, 0), (1, 1), (2, 3), (4, 7), (8, 8)]
+
+
+def test_a_user_moves_once_per_tile_and_not_per_block(spark, monkeypatch):
+    users, items, moved = vectors(spark, 1, 20, 4), vectors(spark, 2, 320, 4), []
+    score = topk_pruned._scored
+    monkeypatch.setattr(topk_pruned, "_scored", lambda visits, *more: moved.append(visits.count()) or score(visits, *more))
+    _, counts = best_items_pruned(users, items, 3, items_per_block=5)
+    # 64 blocks in 7 rounds of a tile each.
+    assert len(counts) == 7 and sum(moved) <= 20 * 7

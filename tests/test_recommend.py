@@ -2,6 +2,7 @@ from conftest import rows
 from tomewise.operators import recommend, serve, split
 from tomewise.functions.book_columns import byline, cover, lookup_url
 from tomewise.plans import derived
+from tomewise.plans.model import AlsConfig, fit
 
 RECS = "user_id INT, book_id INT, prediction DOUBLE"
 
@@ -89,3 +90,19 @@ def test_hash_split_does_not_depend_on_partitions(spark, sf_dir):
         assert rows(a) == rows(b)
     assert sum(part.count() for part in first) == ratings.count()
     assert rows(split.by_hash(ratings, 8)[0]) != rows(first[0])
+
+
+def test_top_n_is_that_of_the_model_by_large_blocks(spark, sf_dir):
+    ratings = derived.ratings(spark, sf_dir)
+    model = fit(ratings, AlsConfig(seed=3, rank=5, max_iter=2))
+    some = ratings.select("user_id").filter("user_id % 3 = 0")
+    for ours, theirs in (
+        (recommend.top_n(model, 4), model.recommendForAllUsers(4)),
+        (recommend.top_n_for(model, some.union(some), 4), model.recommendForUserSubset(some.distinct(), 4)),
+    ):
+        # Equal but for the order of what differs by rounding.
+        found = {(r.user_id, r.book_id): r.prediction for r in ours.collect()}
+        want = {(r.user_id, r.book_id): r.prediction for r in recommend.flatten(theirs).collect()}
+        assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-5 for k in want)
+        assert "CartesianProduct" not in ours._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapCoGroups" in ours._jdf.queryExecution().executedPlan().toString()

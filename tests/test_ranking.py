@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from tomewise.operators import sketches
+from tomewise.operators import core, sketches
 from tomewise.operators.core import active_core
 from tomewise.operators.ranking import per_user, ranking_metrics
 
@@ -67,6 +67,22 @@ def test_a_chain_loses_its_footing_one_by_one(spark):
     assert active_core(spark.createDataFrame([], RATINGS), 1, 1).collect() == []
 
 
+def test_a_round_takes_two_links_of_a_chain(spark, monkeypatch):
+    """A path of 20 links is eaten from its two loose ends, a user and the book it holds in each round."""
+    written, fresh = [], core.fresh_dir
+    monkeypatch.setattr(core, "fresh_dir", lambda spark, name: written.append(name) or fresh(spark, name))
+    path = [(i, i, 1.0) for i in range(10)] + [(i, i + 1, 1.0) for i in range(10)]
+    square = [(u, b, 2.0) for u in (100, 101) for b in (200, 201)]
+    assert rows(active_core(spark.createDataFrame([*path, *square], RATINGS), 2, 2)) == square
+    # Both ends are books here; dropping both kinds at once wrote the pairs ten times.
+    assert len(written) <= 6
+
+
+def test_users_go_although_no_book_falls_short(spark):
+    few = [(1, 10, 1.0), (2, 10, 1.0), (2, 11, 1.0), (3, 10, 1.0), (3, 11, 1.0)]
+    assert rows(active_core(spark.createDataFrame(few, RATINGS), 2, 2)) == few[1:]
+
+
 def test_merged_sketches_are_those_of_one_pass(spark):
     ratings = spark.range(30_000).select(
         (F.col("id") % 7).cast("int").alias("day"), (F.col("id") % 4001).cast("int").alias("user_id"),

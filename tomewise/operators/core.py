@@ -19,18 +19,25 @@ def active_core(ratings: DataFrame, user_books: int, book_users: int) -> DataFra
     by at least ``book_users`` users of it. Rows without a user or book are never in it; rows that repeat a pair
     count as one for the degrees and stay together.
 
-    Each round writes down the pairs that are left and drops those of the round before: as many rounds as the longest
-    chain of users and books that lose their footing one after the other.
+    Each round drops users, then the books that this leaves with too few, so it takes two links of a chain of users and books
+    that lose their footing one after the other. It writes down the pairs that are left and deletes those of the round
+    before. ``ratings`` are read twice.
     """
     spark = ratings.sparkSession
     ratings = ratings.filter("user_id IS NOT NULL AND book_id IS NOT NULL")
     pairs, before = cut(ratings.select("user_id", "book_id").distinct()), None
     while True:
-        users, books = cut(_few(pairs, "user_id", user_books)), cut(_few(pairs, "book_id", book_users))
-        if users.isEmpty() and books.isEmpty():
+        users = cut(_few(pairs, "user_id", user_books))
+        # The books of a round have been counted without its users, so they only fall short if users go.
+        if before and users.isEmpty():
+            break
+        left = pairs.join(users, "user_id", "left_anti")
+        books = cut(_few(left, "book_id", book_users))
+        if books.isEmpty():
+            pairs = left
             break
         path = fresh_dir(spark, "core")
-        pairs.join(users, "user_id", "left_anti").join(books, "book_id", "left_anti").write.parquet(path)
+        left.join(books, "book_id", "left_anti").write.parquet(path)
         pairs = spark.read.schema(pairs.schema).parquet(path)
         if before:
             delete(spark, before)

@@ -119,7 +119,7 @@ def ranking_metrics_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def active_core(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return core.active_core(derived.ratings(spark, sf_dir), CORE_BOOKS, CORE_USERS)
+    return core.active_core(cut(derived.ratings(spark, sf_dir)), CORE_BOOKS, CORE_USERS)
 
 
 # Sketches

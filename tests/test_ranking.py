@@ -10,6 +10,7 @@ from conftest import rows
 from tomewise.operators import core, sketches
 from tomewise.operators.core import active_core
 from tomewise.operators.ranking import per_user, ranking_metrics
+from tomewise.plans import queries_serving
 
 RECS, RATINGS = "user_id INT, book_id INT, prediction DOUBLE", "user_id INT, book_id INT, rating DOUBLE"
 
@@ -83,6 +84,12 @@ def test_users_go_although_no_book_falls_short(spark):
     assert rows(active_core(spark.createDataFrame(few, RATINGS), 2, 2)) == few[1:]
 
 
+def test_the_test_part_is_split_off_once(spark, sf_dir):
+    """The split hashes every rating; the metrics read its outcome several times."""
+    _, test = queries_serving._judged(spark, sf_dir)
+    assert "md5" not in test._jdf.queryExecution().executedPlan().toString()
+
+
 def test_merged_sketches_are_those_of_one_pass(spark):
     ratings = spark.range(30_000).select(
         (F.col("id") % 7).cast("int").alias("day"), (F.col("id") % 4001).cast("int").alias("user_id"),

@@ -100,7 +100,8 @@ def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     training, _, test = split.by_hash(cut(derived.ratings(spark, sf_dir)), seed=7)
     vectors = derived.factors(spark, sf_dir)
     recs = best_items(vectors, vectors, 10, seen=training, decimals=SCORE_DECIMALS)
-    return cut(recs.select("user_id", "book_id", "prediction")), test
+    # Each metric reads the test part several times: it is split off and written once.
+    return cut(recs.select("user_id", "book_id", "prediction")), cut(test)
 
 
 def ranking_metrics_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:

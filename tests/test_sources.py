@@ -29,6 +29,18 @@ def test_lookup_keeps_leading_zeros_and_file_order(spark, tmp_path):
     assert rows(new) == [(1, 100, "0012345678")]
 
 
+def test_lookup_order_goes_over_files_without_their_paths(spark, tmp_path):
+    """The first file by name wins, also below a folder whose name is escaped in paths; rows are sorted by numbers only."""
+    folder = tmp_path / "look up+é%20"
+    folder.mkdir()
+    for name, text in (("b.csv", "1,300,later\n3,9,b\n"), ("a.csv", "1,100,first\n2,200,x\n1,5,second\n"), ("c.csv", "3,8,c\n")):
+        written(folder, name, "r_index,book_id,isbn\n" + text)
+    df = files.lookup_file(spark, str(folder))
+    new = tables.new_lookup_rows(df, spark.createDataFrame([], schemas.GR_BOOKS), ["position"])
+    assert rows(new) == [(1, 100, "first"), (2, 200, "x"), (3, 9, "b")]
+    assert "string" not in dict(df.dtypes)["position"]
+
+
 BAD = HEADER + "1,2,3,4,ann,0\n2,2,three,4,ann,0\n"
 
 

@@ -44,15 +44,20 @@ def lookup_file(spark: SparkSession, path: str) -> DataFrame:
     ``position`` orders the rows as they stand in the file, for "first row wins".
     """
     raw = _reader(spark).csv(path)
-    position = F.struct(
-        "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()
-    )
-    return raw.select(
+    # Rows are sorted by their position: with the number of the file they are half as wide as with its path.
+    paths = raw.select(F.col("_metadata.file_path").alias("_path")).distinct()
+    numbers = paths.agg(F.sort_array(F.collect_list("_path")).alias("all")).select(F.posexplode("all").alias("_file", "_path"))
+    rows = raw.select(
         F.col("r_index").cast("int").alias("gr_id"),
         F.col("book_id").cast("int").alias("ext_book_id"),
         F.col("isbn").alias("isbn10"),
-        position.alias("position"),
+        F.col("_metadata.file_path").alias("_path"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_row"),
     )
+    # One row per file.
+    numbered = rows.join(F.broadcast(numbers), "_path")
+    return numbered.select("gr_id", "ext_book_id", "isbn10", F.struct("_file", "_start", "_row").alias("position"))
 
 
 def ratings_by_position(spark: SparkSession, path: str) -> DataFrame:

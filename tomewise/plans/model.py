@@ -89,7 +89,9 @@ def alternate(als: ALS, start: ALSModel, by_user: DataFrame, by_book: DataFrame)
     spark = by_user.sparkSession
     rank, reg = als.getRank(), als.getRegParam()
     path = fresh_dir(spark, "model")
-    start.write().save(path)
+    # A saved model is its parameters, which a fit of one rating has too, and two tables, which are replaced below.
+    one = spark.createDataFrame([(0, 0, 1.0)], "user_id INT, book_id INT, rating DOUBLE")
+    als.fit(one, {als.maxIter: 0}).write().save(path)
     users, books = half_step.written(half_step.pack(start.userFactors)), None
     for i in range(als.getMaxIter()):
         old = [users, books] if i else [users]
@@ -98,7 +100,6 @@ def alternate(als: ALS, start: ALSModel, by_user: DataFrame, by_book: DataFrame)
         # What a half step has replaced is not read again.
         for folder in old:
             delete(spark, folder)
-    # A saved model is its parameters and two tables, which these replace.
     for name, folder in [("userFactors", users), ("itemFactors", books)]:
         half_step.unpack(spark.read.parquet(folder)).write.mode("overwrite").parquet(f"{path}/{name}")
         delete(spark, folder)

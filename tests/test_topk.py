@@ -128,3 +128,15 @@ def test_blocks_are_cut_so_that_little_moves(spark):
     users, items = (spark.range(n).select(F.col("id").cast("int").alias("id"), vector) for n in (200_000, 20_000))
     plan = best_items(users, items, 3)._jdf.queryExecution().logical().toString()
     assert "sequence(0, 0" in plan
+
+
+def test_items_are_read_and_not_sent_to_each_block_of_users(spark):
+    rng = np.random.default_rng(4)
+    users, items = rng.random((40, 4)), rng.random((5000, 4))
+    got = best_items(frame(spark, range(40), users), frame(spark, range(5000), items), 3, decimals=9, users_per_block=10)
+    # Only users go to blocks, of which there is one of items, whose n best are the result.
+    plan = got._jdf.queryExecution()
+    assert plan.logical().toString().count("explode(sequence(0, ") == 1
+    assert "Window" not in plan.executedPlan().toString()
+    expected = brute_force(range(40), users, range(5000), items, 3, set(), 9)
+    assert [tuple(r)[:2] for r in rows(got)] == [e[:2] for e in expected]

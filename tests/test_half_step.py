@@ -93,3 +93,34 @@ def test_folding_in_sends_no_factors_per_rating(spark, monkeypatch):
         of = y[rated.book_id]
         want = non_negative(of.T @ of + 0.1 * len(of) * np.eye(2), of.T @ rated.rating.to_numpy())
         assert np.abs(got[u] - want).max() < 1e-5
+
+
+def test_folding_in_writes_no_ratings_where_no_key_has_many(spark, monkeypatch):
+    written, cut = [], foldin.cut
+    monkeypatch.setattr(foldin, "cut", lambda df: written.append(df.columns) or cut(df))
+    books = spark.createDataFrame([(u, [0.1 * (u % 7), 0.2]) for u in range(30)], "id INT, features ARRAY<FLOAT>")
+    assert foldin.fold_in(planted(spark), books, 0.1).count() == 40
+    assert not any("other_id" in columns for columns in written)
+
+
+def test_a_fit_starts_from_the_users_and_not_from_their_ratings(spark, monkeypatch):
+    ratings, config, seen = planted(spark), AlsConfig(seed=3, rank=4, reg=0.1, max_iter=2), []
+    want = as_arrays(sparks(ratings, config).userFactors)
+    fit = model.ALS.fit
+    monkeypatch.setattr(model.ALS, "fit", lambda als, rows, *rest: seen.append(rows.count()) or fit(als, rows, *rest))
+    got = as_arrays(model.fit(ratings, config).userFactors)
+    assert max(seen) == len(want) < ratings.count()
+    assert max(np.abs(got[u] - want[u]).max() for u in want) < 1e-4
+
+
+def test_the_grid_is_scored_without_sending_factors_to_ratings(spark, monkeypatch):
+    ratings = planted(spark).withColumn("rating", F.col("rating") + 0.1)
+    training, validation = ratings.filter("user_id <> 5 AND (user_id + book_id) % 4 > 0"), ratings.filter("(user_id + book_id) % 4 = 0")
+    loose = spark.createDataFrame([(None, 3, 2.0), (1, None, 2.0), (1, 3, None), (1, 1000, 2.0)], RATING)
+    config = AlsConfig(seed=3, rank=3, reg=0.1, max_iter=2)
+    want = model.rmse(model.score(model.fit(training, config), validation)).first()
+    monkeypatch.setattr(model, "score", None)
+    got = model.grid_metrics(training, validation.unionByName(loose), config, ranks=[3], regs=[0.1]).first()
+    assert (got.scored, got.rmse) == (want.scored, pytest.approx(want.rmse, rel=1e-9))
+    assert 0 < got.scored < validation.count()
+    assert model.grid_metrics(training, validation.limit(0), config, ranks=[3], regs=[0.1]).first()[3:] == (None, 0)
